@@ -1,4 +1,4 @@
 """Every registered query."""
 
-from . import geometry, nearby, neighbours  # noqa: F401
+from . import geometry, nearby, neighbours, spread  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
