@@ -1,4 +1,12 @@
 """Every registered query."""
 
-from . import geometry, nearby, neighbours, spread  # noqa: F401
+from . import (  # noqa: F401
+    geometry,
+    groups,
+    moving,
+    nearby,
+    neighbours,
+    spread,
+    surfaces,
+)
 from .registry import QUERIES, SQL  # noqa: F401
