@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.planar import dist2, valid_xy
 from ..session import cut
 from .components import components
-from .pairs import SPLIT_ROWS, _shifted, hot_groups, split_join
+from .pairs import SPLIT_ROWS, _shifted, attach, hot_groups, split_join
 
 CELL = ["_c0", "_c1"]
 # Sub-cells per side of a cell, for the boxes.
@@ -81,9 +81,10 @@ def dbscan(points: DataFrame, key: str, xy: tuple[str, str], eps: float, min_poi
              .agg(F.count("*").alias("n"), F.min(key).alias("low")))
     spots = cut(spots.select("*", F.floor(F.col("x") / F.lit(side)).alias("_c0"),
                              F.floor(F.col("y") / F.lit(side)).alias("_c1")))
-    full = spots.groupBy(*CELL).agg(F.sum("n").alias("_total")).where(F.col("_total") >= min_points)
-    thin = cut(spots.join(full, CELL, "left_anti"))
-    dense = spots.join(full, CELL, "left_semi")
+    totals = spots.groupBy(*CELL).agg(F.sum("n").alias("_total"))
+    weighed = cut(attach(spots, totals, [(c, c) for c in CELL], split_rows=split_rows))
+    thin = weighed.where(F.col("_total") < min_points).drop("_total")
+    dense = weighed.where(F.col("_total") >= min_points)
     others = spots.select(F.col("x").alias("bx"), F.col("y").alias("by"),
                           F.col("n").alias("bn"), *CELL)
     counted = cut(_meet(thin, others, eps2, split_rows).groupBy("x", "y", "n", "low").agg(
@@ -92,10 +93,10 @@ def dbscan(points: DataFrame, key: str, xy: tuple[str, str], eps: float, min_poi
     core = dense.select("x", "y", "low", *CELL).unionByName(
         counted.where("core").select("x", "y", "low", *cells))
     named = core.groupBy(*CELL).agg(F.min("low").alias("_cell"))
-    core = cut(core.join(named, CELL))
+    core = cut(attach(core, named, [(c, c) for c in CELL], split_rows=split_rows))
     nodes = core.select(F.col("_cell").alias("node")).distinct()
     grouped = components(nodes, _cell_links(core, eps, side, split_rows), split_rows)
-    core = cut(core.join(grouped, F.col("_cell") == F.col("node")).select(
+    core = cut(attach(core, grouped, [("_cell", "node")], split_rows=split_rows).select(
         "x", "y", *CELL, F.col("component").alias("cluster")))
     border = _meet(
         counted.where(~F.col("core")).select("x", "y", *cells),
@@ -104,5 +105,5 @@ def dbscan(points: DataFrame, key: str, xy: tuple[str, str], eps: float, min_poi
     placed = core.select("x", "y", "cluster", F.lit(True).alias("core")).unionByName(
         border.select("x", "y", "cluster", F.lit(False).alias("core")))
     placed = placed.toDF("_x", "_y", "cluster", "core")
-    return points.join(placed, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left").select(
+    return attach(points, placed, [(x, "_x"), (y, "_y")], "left", split_rows).select(
         key, "cluster", F.coalesce("core", F.lit(False)).alias("core"))

@@ -32,10 +32,11 @@ def components(nodes: DataFrame, edges: DataFrame, split_rows: int = SPLIT_ROWS)
                     .select(F.least("_la", "_lb").alias("a"), F.greatest("_la", "_lb").alias("b"))
                     .distinct())
         short = hooks
-        for _ in range(3):
+        for _ in range(2):
             onward = short.select(F.col("_from").alias("_at"), F.col("_to").alias("_next"))
-            short = cut(short.join(onward, F.col("_to") == F.col("_at"), "left")
-                        .select("_from", F.coalesce("_next", "_to").alias("_to")))
+            short = (short.join(onward, F.col("_to") == F.col("_at"), "left")
+                     .select("_from", F.coalesce("_next", "_to").alias("_to")))
+        short = cut(short)
         old = labels.groupBy("component").agg(F.count("*").alias("_nl"))
         moves = old.join(short, F.col("component") == F.col("_from"), "left").select(
             "component", F.coalesce("_to", "component").alias("_to"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from ..functions.planar import dist2
 from ..functions.sphere import RADIUS, haversine, unit_vector
 from ..session import cut
-from .pairs import SPLIT_ROWS, hot_groups, split_join
+from .pairs import SPLIT_ROWS, attach, hot_groups, split_join
 
 MAX_LEVEL = 40
 # A cell with more points than this many times k gets a finer level.
@@ -92,7 +92,7 @@ def _pyramid(points: DataFrame, frame: _Frame, k: int) -> tuple[DataFrame, int]:
 
 
 def _bounded(queries: DataFrame, points: DataFrame, frame: _Frame, k: int,
-             slack: float) -> DataFrame:
+             slack: float, split_rows: int) -> DataFrame:
     """Queries with ``_reach``, no less than the distance to their k-th nearest point."""
     dims = len(frame.names)
     keys = [f"_c{i}" for i in range(dims)]
@@ -120,7 +120,8 @@ def _bounded(queries: DataFrame, points: DataFrame, frame: _Frame, k: int,
         off = F.greatest(F.abs(F.col(c) - low), F.abs(low + 3 * side - F.col(c)))
         far2 = far2 + off * off
     reach = F.sqrt(far2) * F.lit(1 + 1e-9) + F.lit(frame.span * 1e-12 + slack)
-    return placed.join(best, fine).select(*queries.columns, "_best", reach.alias("_reach"))
+    return attach(placed, best, [(f, f) for f in fine], split_rows=split_rows).select(
+        *queries.columns, "_best", reach.alias("_reach"))
 
 
 def _candidates(queries: DataFrame, points: DataFrame, names: Sequence[str],
@@ -134,7 +135,7 @@ def _candidates(queries: DataFrame, points: DataFrame, names: Sequence[str],
     frame = _Frame(at, names)
     if not frame.n:
         return queries.join(points, F.lit(False)).withColumn("_d2", F.lit(0.0))
-    bounded = cut(_bounded(queries, at, frame, k, slack))
+    bounded = cut(_bounded(queries, at, frame, k, slack, split_rows))
     keys = ["_level", *[f"_c{i}" for i in range(dims)]]
     # Cells twice as wide as those of the block: the reach then covers few of them.
     level = F.greatest(F.col("_best") - 1, F.lit(0))
@@ -189,11 +190,11 @@ def _search(queries: DataFrame, points: DataFrame, k: int, query_key: str, point
                        (distance if lonlat else F.col("_d2")).alias("_rank_by"))
     nearest = (near.withColumn("_at", F.row_number().over(W.partitionBy(*names).orderBy(*order)))
                .where(F.col("_at") <= wide))
-    answers = nearest.withColumnsRenamed({c: "_q_" + c for c in names})
-    match = F.lit(True)
-    for c in names:
-        match = match & (F.col(c) == F.col("_q_" + c))
-    out = queries.join(answers, match)
+    answers = cut(nearest.groupBy(*[F.col(c).alias("_q_" + c) for c in names]).agg(
+        F.collect_list(F.struct(point_key, "distance", "_rank_by", "_at")).alias("_found")))
+    out = attach(queries, answers, [(c, "_q_" + c) for c in names], split_rows=split_rows)
+    out = out.select(*queries.columns, F.explode("_found").alias("_f")).select(
+        *queries.columns, "_f.*")
     if other_than_self:
         out = (out.where(F.col(query_key) != F.col(point_key))
                .withColumn("_at", F.row_number().over(W.partitionBy(query_key).orderBy(*order)))

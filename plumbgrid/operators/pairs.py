@@ -103,7 +103,7 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFram
     """Equi-join on ``keys`` plus ``condition``, with the hot groups cut into blocks.
 
     Rows choose their part by a hash of their contents, not at random, so that a task
-    run again after an executor is lost makes the same choice. For semi and anti joins
+    run again after an executor is lost makes the same choice. For other than inner joins
     only the left side is cut: each left row has to see the whole right group.
     """
     on = list(keys)
@@ -124,6 +124,22 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFram
     return left.join(right, match, how).drop(*on, *["_r" + k for k in on])
 
 
+def attach(rows: DataFrame, table: DataFrame, keys: Sequence[tuple[str, str]],
+           how: str = "inner", split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Join rows to a table with at most one row per key, inner or left.
+
+    ``keys`` pairs column names of the two sides; those of the table are dropped. A key
+    that holds a large share of the rows is cut up, and its table row copied.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    left = rows.select("*", *[F.col(k).alias(n) for (k, _), n in zip(keys, names)])
+    right = table.withColumnsRenamed({k: n for (_, k), n in zip(keys, names)})
+    counts = left.groupBy(*names).agg(F.count("*").alias("_nl")).where(F.col("_nl") > split_rows)
+    single = counts.select(*names, F.lit(1).cast("long").alias("_nr"))
+    return split_join(left, right, names, hot_groups(counts, single, names, split_rows),
+                      F.lit(True), how)
+
+
 def grid_join(left: DataFrame, right: DataFrame, left_at: Sequence[Column],
               right_at: Sequence[Column], reach: float, condition: Column,
               how: str = "inner", split_rows: int = SPLIT_ROWS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.planar import valid_xy
 from ..session import cut
-from .pairs import SPLIT_ROWS, within_distance
+from .pairs import SPLIT_ROWS, attach, within_distance
 
 
 def positions(points: DataFrame, xy: tuple[str, str], value: str | None = None) -> DataFrame:
@@ -41,6 +41,6 @@ def sums_within(points: DataFrame, xy: tuple[str, str], radius: float, value: st
     own = F.lit(0.0) if value is None else F.col(value)
     sums = position_sums(positions(points, xy, value), radius, split_rows).select(
         F.col("x").alias("_sx"), F.col("y").alias("_sy"), "n_in", "s_in")
-    met = points.join(sums, (F.col(xy[0]) == F.col("_sx")) & (F.col(xy[1]) == F.col("_sy")))
+    met = attach(points, sums, list(zip(xy, ("_sx", "_sy"))), split_rows=split_rows)
     return met.select(*points.columns, (F.col("n_in") - 1).alias("degree"),
                       (F.col("s_in") - own).alias("lag"))

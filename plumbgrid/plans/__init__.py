@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     geometry,
     groups,
+    live,
     moving,
     nearby,
     neighbours,
