@@ -13,9 +13,9 @@ from .registry import query
 LONLAT = ("lon", "lat")
 STEP_SQL = f"""l AS (SELECT *, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0,
     lag(ts) OVER w AS ts0 FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-  step AS (SELECT event_id, user_id, ts, lon, lat, 2 * 6371008.8e0 * asin(sqrt(least(1e0,
+  step AS (SELECT event_id, user_id, ts, lon, lat, CASE WHEN lon0 IS NOT NULL THEN 2 * 6371008.8e0 * asin(sqrt(least(1e0,
       pow(sin((radians(lat) - radians(lat0)) / 2), 2) + cos(radians(lat0)) * cos(radians(lat))
-      * pow(sin((radians(lon) - radians(lon0)) / 2), 2)))) AS metres,
+      * pow(sin((radians(lon) - radians(lon0)) / 2), 2)))) END AS metres,
     (epoch_us(ts) - epoch_us(ts0)) / 1e6 AS seconds FROM l)"""
 
 
