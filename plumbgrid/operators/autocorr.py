@@ -6,12 +6,10 @@ table of pairs is formed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .pairs import SPLIT_ROWS, meeting_pairs
-from .sums import position_sums, positions, sums_within
+from .pairs import SPLIT_ROWS
+from .sums import CROWDED, class_sums, position_sums, positions, sums_within
 
 
 def centred(points: DataFrame, value: str) -> DataFrame:
@@ -95,26 +93,14 @@ def hot_spots(points: DataFrame, key: str, xy: tuple[str, str], value: str, radi
 
 
 def variogram(points: DataFrame, xy: tuple[str, str], value: str, lag: float, bins: int,
-              split_rows: int = SPLIT_ROWS) -> DataFrame:
+              split_rows: int = SPLIT_ROWS, crowded: int = CROWDED) -> DataFrame:
     """Empirical semivariogram: (bin, pairs, gamma) for distances in [bin, bin + 1) lags.
 
-    Works on unordered pairs of positions; rows at one position fall in bin 0.
+    Unordered pairs of rows; those at one position fall in bin 0.
     """
+    lag = float(lag)
     spots = positions(centred(points, value), xy, "_z")
-    pairs = meeting_pairs(spots, ("x", "y"), lag * bins,
-                          (F.col("a_x") < F.col("b_x"))
-                          | ((F.col("a_x") == F.col("b_x")) & (F.col("a_y") < F.col("b_y"))),
-                          split_rows)
-    dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")
-    apart = pairs.select(
-        F.floor(F.sqrt(dx * dx + dy * dy) / F.lit(lag)).alias("bin"),
-        (F.col("a_n") * F.col("b_n")).alias("pairs"),
-        (F.col("a_q") * F.col("b_n") - 2 * F.col("a_s") * F.col("b_s")
-         + F.col("a_n") * F.col("b_q")).alias("spread")).where(F.col("bin") < bins)
-    together = spots.select(
-        F.lit(0).cast("long").alias("bin"), F.expr("n * (n - 1) div 2").alias("pairs"),
-        (F.col("n") * F.col("q") - F.col("s") * F.col("s")).alias("spread"))
-    together = together.where(F.col("pairs") > 0)
-    return (apart.unionByName(together).groupBy("bin")
-            .agg(F.sum("pairs").alias("pairs"), F.sum("spread").alias("spread"))
-            .select("bin", "pairs", (F.col("spread") / (2 * F.col("pairs"))).alias("gamma")))
+    sums = class_sums(spots, [lag * (i + 1) for i in range(bins)],
+                      lambda d2: F.floor(F.sqrt(d2) / F.lit(lag)), split_rows, crowded)
+    return sums.select(F.col("class").alias("bin"), "pairs",
+                       (F.col("spread") / (2 * F.col("pairs"))).alias("gamma"))

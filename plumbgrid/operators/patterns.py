@@ -8,11 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cells import square_cell
-from ..functions.planar import dist2, valid_xy
+from ..functions.planar import valid_xy
 from .grids import square_counts
 from .nearest import nearest_others
-from .pairs import SPLIT_ROWS, meeting_pairs
-from .sums import positions
+from .pairs import SPLIT_ROWS
+from .sums import CROWDED, class_sums, positions
 
 
 def centres(points: DataFrame, xy: tuple[str, str], weight: str, *by: str) -> DataFrame:
@@ -71,28 +71,25 @@ def nearest_index(points: DataFrame, key: str, xy: tuple[str, str],
 
 
 def ripley(points: DataFrame, xy: tuple[str, str], radii: Sequence[float],
-           split_rows: int = SPLIT_ROWS) -> DataFrame:
+           split_rows: int = SPLIT_ROWS, crowded: int = CROWDED) -> DataFrame:
     """(radius, pairs, k, l) per radius over the bounding box, without edge correction.
 
-    Counts ordered pairs of rows, from unordered pairs of positions times their rows.
+    ``pairs`` counts ordered pairs of rows within the radius.
     """
     radii = sorted(float(r) for r in radii)
     spots = positions(points, xy)
-    met = meeting_pairs(spots.select("x", "y", "n"), ("x", "y"), radii[-1],
-                        (F.col("a_x") < F.col("b_x"))
-                        | ((F.col("a_x") == F.col("b_x")) & (F.col("a_y") < F.col("b_y"))),
-                        split_rows)
-    d2 = dist2("a_x", "a_y", "b_x", "b_y")
-    both = F.col("a_n") * F.col("b_n")
-    found = met.agg(*[F.coalesce(F.sum(F.when(d2 <= F.lit(r * r), both)), F.lit(0)).alias(f"p{i}")
-                      for i, r in enumerate(radii)])
-    base = spots.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("same"),
-                     ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area"))
-    rows = F.array(*[F.struct(F.lit(r).alias("radius"), F.col(f"p{i}").alias("half"))
+    beyond = [F.lit(r * r) for r in radii]
+    sums = class_sums(spots, radii, lambda d2: sum(((d2 > e).cast("int") for e in beyond), F.lit(0)),
+                      split_rows, crowded)
+    # One row: the number of unordered pairs within each radius.
+    within = sums.agg(F.array(*[
+        F.coalesce(F.sum(F.when(F.col("class") <= i, F.col("pairs"))), F.lit(0))
+        for i in range(len(radii))]).alias("half"))
+    base = spots.agg(F.sum("n").alias("n"), ((F.max("x") - F.min("x"))
+                                             * (F.max("y") - F.min("y"))).alias("area"))
+    out = within.select("half", *[base.select(c).scalar().alias(c) for c in ("n", "area")])
+    rows = F.array(*[F.struct(F.lit(r).alias("radius"), (F.col("half")[i] * 2).alias("pairs"))
                      for i, r in enumerate(radii)])
-    out = found.select(F.explode(rows).alias("at"), *[
-        base.select(c).scalar().alias(c) for c in ("n", "same", "area")])
-    pairs = F.col("at.half") * 2 + F.col("same")
-    k = F.col("area") * pairs / (F.col("n") * (F.col("n") - 1))
-    return out.select(F.col("at.radius").alias("radius"), pairs.alias("pairs"), k.alias("k"),
-                      F.sqrt(k / math.pi).alias("l"))
+    out = out.select("n", "area", F.explode(rows).alias("at")).select("n", "area", "at.*")
+    k = F.col("area") * F.col("pairs") / (F.col("n") * (F.col("n") - 1))
+    return out.select("radius", "pairs", k.alias("k"), F.sqrt(k / math.pi).alias("l"))

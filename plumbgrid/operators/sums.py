@@ -3,15 +3,33 @@
 Rows at one position have the same neighbours, so they are first added up: n rows, s the
 sum of their values and q the sum of squares. Everything else works on positions, and a
 position that holds a third of all rows is one row here.
+
+Where positions are thin on the ground they meet in a grid join. Where a cell is crowded,
+forming its pairs would cost the square of its positions although only sums are wanted.
+There cells meet cells: boxes around their positions show that all pairs of two cells fall
+in one distance class, in which case the cells' sums are enough, or that none is near.
+Cells in doubt are halved and only the last doubtful few compare positions. All tests are
+exact; the boxes decide nothing within rounding of a radius.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import itertools
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.planar import valid_xy
+from ..functions.planar import dist2, valid_xy
 from ..session import cut
-from .pairs import SPLIT_ROWS, attach, within_distance
+from .pairs import SPLIT_ROWS, WIDEN, attach, meeting_pairs, within_distance
+
+# Above this many positions in a cell, cells meet cells.
+CROWDED = 256
+# Two cells with at most this many pairs of positions compare them.
+LEAF_PAIRS = 4096
+MAX_LEVEL = 60
+SUMS = ("n", "s", "q")
 
 
 def positions(points: DataFrame, xy: tuple[str, str], value: str | None = None) -> DataFrame:
@@ -24,22 +42,166 @@ def positions(points: DataFrame, xy: tuple[str, str], value: str | None = None)
         F.sum(F.col("v") * F.col("v")).alias("q")))
 
 
-def position_sums(spots: DataFrame, radius: float, split_rows: int = SPLIT_ROWS) -> DataFrame:
+class _Level(NamedTuple):
+    spots: DataFrame     # positions with their cell (c0, c1)
+    settled: DataFrame   # (a0, a1, a_*, b_*, class): all pairs of two cells in one class
+    leaves: DataFrame    # (a0, a1, b0, b1): cells whose positions have to be compared
+
+
+def _in_cells(spots: DataFrame, side: float) -> DataFrame:
+    return spots.select("x", "y", *SUMS, F.floor(F.col("x") / F.lit(side)).alias("c0"),
+                        F.floor(F.col("y") / F.lit(side)).alias("c1"))
+
+
+def _nodes(spots: DataFrame, prefix: str) -> DataFrame:
+    nodes = spots.groupBy("c0", "c1").agg(
+        *[F.sum(c).alias(f"{prefix}_{c}") for c in SUMS], F.count("*").alias(f"{prefix}_m"),
+        F.min("x").alias(f"{prefix}_x0"), F.max("x").alias(f"{prefix}_x1"),
+        F.min("y").alias(f"{prefix}_y0"), F.max("y").alias(f"{prefix}_y1"))
+    return nodes.withColumnsRenamed({"c0": f"{prefix}0", "c1": f"{prefix}1"})
+
+
+def _judged(pairs: DataFrame, edges2: Sequence[float]) -> DataFrame:
+    """Pairs of cells that may be near, with the distance classes of their nearest and
+    farthest points. Class k lies between the k-th and the next radius."""
+    near2, far2 = F.lit(0.0), F.lit(0.0)
+    for axis in "xy":
+        a0, a1, b0, b1 = (F.col(f"{p}_{axis}{e}") for p in "ab" for e in "01")
+        near = F.greatest(a0 - b1, b0 - a1, F.lit(0.0))
+        far = F.greatest(a1 - b0, b1 - a0)
+        near2, far2 = near2 + near * near, far2 + far * far
+
+    def above(d2: Column) -> Column:
+        return sum(((d2 > F.lit(e)).cast("int") for e in edges2), F.lit(0))
+
+    kept = [f"{p}{c}" for p in "ab" for c in ("0", "1", "_n", "_s", "_q", "_m")]
+    out = pairs.select(*kept, above(near2 * F.lit(1 - 1e-9)).alias("class"),
+                       above(far2 * F.lit(1 + 1e-9)).alias("_far"))
+    return out.where(F.col("class") < len(edges2))
+
+
+def _levels(spots: DataFrame, radii: Sequence[float]) -> Iterator[_Level]:
+    edges2 = [r * r for r in radii]
+    side = radii[-1] * WIDEN
+    around = list(itertools.product((-1, 0, 1), repeat=2))
+    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around])
+    spots = cut(_in_cells(spots, side))
+    a = _nodes(spots, "a").select("*", F.explode(shifts).alias("_o"))
+    b = _nodes(spots, "b")
+    pairs = a.join(b, (F.col("a0") + F.col("_o.i") == F.col("b0"))
+                   & (F.col("a1") + F.col("_o.j") == F.col("b1")))
+    for level in range(MAX_LEVEL + 1):
+        judged = cut(_judged(pairs, edges2))
+        doubtful = judged.where(F.col("class") != F.col("_far"))
+        small = F.col("a_m") * F.col("b_m") <= LEAF_PAIRS
+        if level == MAX_LEVEL:
+            small = F.lit(True)
+        cells = ["a0", "a1", "b0", "b1"]
+        yield _Level(spots, judged.where(F.col("class") == F.col("_far")),
+                     doubtful.where(small).select(*cells))
+        large = doubtful.where(~small).select(*cells)
+        if large.isEmpty():
+            return
+        # Doubt is mutual, so the first cells of the pairs are all the cells in doubt.
+        open_cells = large.select(F.col("a0").alias("c0"), F.col("a1").alias("c1")).distinct()
+        side /= 2
+        spots = cut(_in_cells(spots.join(open_cells, ["c0", "c1"], "left_semi"), side))
+        halves = [_nodes(spots, p) for p in "ab"]
+        for p, half in zip("ab", halves):
+            half = half.select("*", F.shiftright(f"{p}0", 1).alias(f"_{p}0"),
+                               F.shiftright(f"{p}1", 1).alias(f"_{p}1"))
+            large = large.withColumnsRenamed({f"{p}0": f"_up{p}0", f"{p}1": f"_up{p}1"}).join(
+                half, (F.col(f"_up{p}0") == F.col(f"_{p}0")) & (F.col(f"_up{p}1") == F.col(f"_{p}1")))
+        pairs = large
+
+
+def _compared(level: _Level) -> DataFrame:
+    """All pairs of positions of the cells in doubt, as a_* and b_*."""
+    sides = {p: level.spots.withColumnsRenamed(
+        {"x": f"{p}_x", "y": f"{p}_y", "c0": f"_{p}0", "c1": f"_{p}1",
+         **{c: f"{p}_{c}" for c in SUMS}}) for p in "ab"}
+    out = level.leaves
+    for p in "ba":
+        out = out.join(sides[p], (F.col(f"{p}0") == F.col(f"_{p}0")) & (F.col(f"{p}1") == F.col(f"_{p}1")))
+    return out
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _is_crowded(spots: DataFrame, side: float, crowded: int) -> bool:
+    counts = _in_cells(spots, side).groupBy("c0", "c1").count()
+    return not counts.where(F.col("count") > crowded).isEmpty()
+
+
+def position_sums(spots: DataFrame, radius: float, split_rows: int = SPLIT_ROWS,
+                  crowded: int = CROWDED) -> DataFrame:
     """Adds (n_in, s_in, q_in) over all positions within the radius, the own one included."""
-    a = spots
-    b = spots.toDF("_bx", "_by", "_bn", "_bs", "_bq")
-    near = within_distance(a, b, radius, ("x", "y"), ("_bx", "_by"), split_rows=split_rows)
-    # All copies of a position meet it in the same task, so this adds up before the shuffle.
-    return near.groupBy(*spots.columns).agg(
-        F.sum("_bn").alias("n_in"), F.sum("_bs").alias("s_in"), F.sum("_bq").alias("q_in"))
+    radius = float(radius)
+    if not _is_crowded(spots, radius * WIDEN, crowded):
+        b = spots.toDF("_bx", "_by", "_bn", "_bs", "_bq")
+        near = within_distance(spots, b, radius, ("x", "y"), ("_bx", "_by"), split_rows=split_rows)
+        # All copies of a position meet it in the same task, so this adds up before the shuffle.
+        return near.groupBy(*spots.columns).agg(
+            *[F.sum(f"_b{c}").alias(f"{c}_in") for c in SUMS])
+    parts = []
+    for level in _levels(spots, [radius]):
+        sums = [F.sum(f"b_{c}").alias(f"{c}_in") for c in SUMS]
+        settled = level.settled.groupBy(F.col("a0").alias("_a0"), F.col("a1").alias("_a1")).agg(*sums)
+        whole = attach(level.spots, settled, [("c0", "_a0"), ("c1", "_a1")], split_rows=split_rows)
+        near = _compared(level).where(dist2("a_x", "a_y", "b_x", "b_y") <= F.lit(radius * radius))
+        parts += [whole.select(*spots.columns, *[f"{c}_in" for c in SUMS]),
+                  near.groupBy(*[F.col(f"a_{c}").alias(c) for c in spots.columns]).agg(*sums)]
+    return _union(parts).groupBy(*spots.columns).agg(*[F.sum(f"{c}_in").alias(f"{c}_in") for c in SUMS])
+
+
+def class_sums(spots: DataFrame, radii: Sequence[float], class_of: Callable[[Column], Column],
+               split_rows: int = SPLIT_ROWS, crowded: int = CROWDED) -> DataFrame:
+    """(class, pairs, spread) over unordered pairs of rows at different or equal positions.
+
+    ``pairs`` counts them and ``spread`` adds the squared differences of their values.
+    ``class_of`` turns a squared distance into a class below len(radii); the classes must
+    change at the radii only, and pairs of higher class are left out.
+    """
+    last = len(radii)
+    pairs = F.col("a_n") * F.col("b_n")
+    spread = (F.col("a_q") * F.col("b_n") - 2 * F.col("a_s") * F.col("b_s")
+              + F.col("a_n") * F.col("b_q"))
+    d2 = dist2("a_x", "a_y", "b_x", "b_y")
+    total = [F.sum("pairs").alias("pairs"), F.sum("spread").alias("spread")]
+    measured = [class_of(d2).cast("long").alias("class"), pairs.alias("pairs"), spread.alias("spread")]
+    if not _is_crowded(spots, radii[-1] * WIDEN, crowded):
+        order = (F.col("a_x") < F.col("b_x")) | ((F.col("a_x") == F.col("b_x"))
+                                                 & (F.col("a_y") < F.col("b_y")))
+        met = meeting_pairs(spots, ("x", "y"), radii[-1], order, split_rows)
+        same = spots.select(F.lit(0).cast("long").alias("class"),
+                            F.expr("n * (n - 1) div 2").alias("pairs"),
+                            (F.col("n") * F.col("q") - F.col("s") * F.col("s")).alias("spread"))
+        parts = [met.select(*measured).where(F.col("class") < last), same.where("pairs > 0")]
+        return _union(parts).groupBy("class").agg(*total)
+    # Both orders of each pair come up here, and every row also meets itself.
+    rows = spots.agg(F.sum("n").alias("n")).select(
+        F.lit(0).cast("long").alias("class"), (-F.col("n")).alias("pairs"), F.lit(0.0).alias("spread"))
+    parts = [rows]
+    for level in _levels(spots, radii):
+        parts += [level.settled.select(F.col("class").cast("long").alias("class"),
+                                       pairs.alias("pairs"), spread.alias("spread")),
+                  _compared(level).select(*measured).where(F.col("class") < last)]
+    both = _union([p.groupBy("class").agg(*total) for p in parts]).groupBy("class").agg(*total)
+    return both.where("pairs > 0").select("class", F.expr("pairs div 2").alias("pairs"),
+                                          (F.col("spread") / 2).alias("spread"))
 
 
 def sums_within(points: DataFrame, xy: tuple[str, str], radius: float, value: str | None = None,
-                split_rows: int = SPLIT_ROWS) -> DataFrame:
+                split_rows: int = SPLIT_ROWS, crowded: int = CROWDED) -> DataFrame:
     """Points with ``degree``, the number of other rows within the radius, and ``lag``, the
     sum of their values (zero without a value column)."""
     own = F.lit(0.0) if value is None else F.col(value)
-    sums = position_sums(positions(points, xy, value), radius, split_rows).select(
+    sums = position_sums(positions(points, xy, value), radius, split_rows, crowded).select(
         F.col("x").alias("_sx"), F.col("y").alias("_sy"), "n_in", "s_in")
     met = attach(points, sums, list(zip(xy, ("_sx", "_sy"))), split_rows=split_rows)
     return met.select(*points.columns, (F.col("n_in") - 1).alias("degree"),

@@ -24,14 +24,16 @@ def frame(spark, points):
 
 
 @pytest.mark.parametrize("radius", [0.0004, 0.05, 0.6])
-@pytest.mark.parametrize("split_rows", [20_000, 9])
-def test_sums(frame, points, radius, split_rows):
+@pytest.mark.parametrize("split_rows,crowded,leaf", [(20_000, 256, 4096), (9, 256, 4096),
+                                                     (20_000, 3, 40), (9, 0, 1)])
+def test_sums(frame, points, radius, split_rows, crowded, leaf, monkeypatch):
+    monkeypatch.setattr(sums, "LEAF_PAIRS", leaf)
     value = {p[0]: p[3] for p in points}
     degree, lag = dict.fromkeys(value, 0), dict.fromkeys(value, 0.0)
     for a, b in brute.near(points, radius):
         degree[a] += 1
         lag[a] += value[b]
-    for r in sums.sums_within(frame, XY, radius, "v", split_rows).collect():
+    for r in sums.sums_within(frame, XY, radius, "v", split_rows, crowded).collect():
         assert r.degree == degree[r.id] and r.lag == pytest.approx(lag[r.id], abs=1e-9)
 
 
@@ -73,8 +75,11 @@ def test_local_statistics(frame, points):
         assert r.gi_star == pytest.approx((w[r.id] @ z + z[r.id]) / scale, abs=1e-9)
 
 
-def test_variogram_and_ripley_count_copies(frame, points):
-    found = {r.bin: (r.pairs, r.gamma) for r in autocorr.variogram(frame, XY, "v", 0.25, 4).collect()}
+@pytest.mark.parametrize("crowded,leaf", [(256, 4096), (2, 30), (0, 1)])
+def test_variogram_and_ripley_count_copies(frame, points, crowded, leaf, monkeypatch):
+    monkeypatch.setattr(sums, "LEAF_PAIRS", leaf)
+    found = {r.bin: (r.pairs, r.gamma) for r in autocorr.variogram(
+        frame, XY, "v", 0.25, 4, crowded=crowded).collect()}
     bins = {}
     for a in points:
         for b in points:
@@ -86,7 +91,7 @@ def test_variogram_and_ripley_count_copies(frame, points):
     for lag, squares in bins.items():
         assert found[lag][1] == pytest.approx(sum(squares) / (2 * len(squares)))
     radii = [0.0002, 0.0007, 0.1, 1.0]
-    for r in patterns.ripley(frame, XY, radii).collect():
+    for r in patterns.ripley(frame, XY, radii, crowded=crowded).collect():
         assert r.pairs == len(brute.near(points, r.radius))
 
 
