@@ -27,9 +27,9 @@ def _meet(thin: DataFrame, others: DataFrame, eps2: float, split_rows: int) -> D
     """Rows of ``thin`` with each row of ``others`` (columns b*) within reach."""
     near = list(itertools.product(range(-2, 3), repeat=2))
     spread = _shifted(thin, 2, near).drop("_o")
-    hot = hot_groups(spread.groupBy(*CELL).agg(F.count("*").alias("_nl")),
+    split = hot_groups(spread.groupBy(*CELL).agg(F.count("*").alias("_nl")),
                      others.groupBy(*CELL).agg(F.count("*").alias("_nr")), CELL, split_rows)
-    return split_join(spread, others, CELL, hot, dist2("x", "y", "bx", "by") <= F.lit(eps2))
+    return split_join(spread, others, CELL, split, dist2("x", "y", "bx", "by") <= F.lit(eps2))
 
 
 def _cell_links(core: DataFrame, eps: float, side: float, split_rows: int) -> DataFrame:
@@ -63,9 +63,9 @@ def _cell_links(core: DataFrame, eps: float, side: float, split_rows: int) -> Da
         left, ["_s0", "_s1"]).select("a", "b", "ax", "ay", F.col("_bs0").alias("_s0"),
                                      F.col("_bs1").alias("_s1"))
     keys = ["_s0", "_s1"]
-    hot = hot_groups(first.groupBy(*keys).agg(F.count("*").alias("_nl")),
+    split = hot_groups(first.groupBy(*keys).agg(F.count("*").alias("_nl")),
                      right.groupBy(*keys).agg(F.count("*").alias("_nr")), keys, split_rows)
-    found = split_join(first, right, keys, hot, dist2("ax", "ay", "bx", "by") <= F.lit(eps2))
+    found = split_join(first, right, keys, split, dist2("ax", "ay", "bx", "by") <= F.lit(eps2))
     return sure.unionByName(found.select("a", "b").distinct())
 
 

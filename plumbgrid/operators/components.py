@@ -40,7 +40,7 @@ def components(nodes: DataFrame, edges: DataFrame, split_rows: int = SPLIT_ROWS)
         old = labels.groupBy("component").agg(F.count("*").alias("_nl"))
         moves = old.join(short, F.col("component") == F.col("_from"), "left").select(
             "component", F.coalesce("_to", "component").alias("_to"))
-        hot = hot_groups(old, moves.select("component", F.lit(1).cast("long").alias("_nr")),
+        split = hot_groups(old, moves.select("component", F.lit(1).cast("long").alias("_nr")),
                          ["component"], split_rows)
-        labels = cut(split_join(labels, moves, ["component"], hot, F.lit(True))
+        labels = cut(split_join(labels, moves, ["component"], split, F.lit(True))
                      .select("node", F.col("_to").alias("component")))

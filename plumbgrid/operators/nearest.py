@@ -157,11 +157,11 @@ def _candidates(queries: DataFrame, points: DataFrame, names: Sequence[str],
     copies = points.select("*", F.explode(F.array(*[F.lit(v) for v in used])).alias("_level"))
     copies = copies.select("*", *[frame.cell(i, F.col(c), F.col("_level")).alias(f"_c{i}")
                                   for i, c in enumerate(found)])
-    hot = hot_groups(wanted.groupBy(*keys).agg(F.count("*").alias("_nl")),
+    split = hot_groups(wanted.groupBy(*keys).agg(F.count("*").alias("_nl")),
                      copies.groupBy(*keys).agg(F.count("*").alias("_nr")), keys, split_rows)
     d2 = sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(names, found)),
              F.lit(0.0))
-    met = split_join(wanted, copies, keys, hot, d2 <= F.col("_reach") * F.col("_reach"))
+    met = split_join(wanted, copies, keys, split, d2 <= F.col("_reach") * F.col("_reach"))
     return met.drop("_reach").withColumn("_d2", d2)
 
 

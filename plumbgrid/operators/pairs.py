@@ -14,9 +14,11 @@ the whole cell. Every pair still meets under exactly one key.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.planar import dist2
 from ..functions.sphere import chord, haversine, unit_vector
@@ -28,6 +30,9 @@ SPLIT_ROWS = 20_000
 # Up to this many hot cells are sent to every executor (a few hundred kilobytes);
 # beyond it they are joined like any other table.
 HOT_BROADCAST = 10_000
+# Pairs one task should test, and the most tasks a join is given for that reason.
+TASK_PAIRS = 100_000_000
+MAX_TASKS = 200_000
 
 
 def disjoint(left: DataFrame, right: DataFrame) -> None:
@@ -80,25 +85,43 @@ def _reached(df: DataFrame, at: Sequence[Column], cell: float,
     return out.drop(*[f"_f{i}" for i in range(dims)])
 
 
-def hot_groups(left_counts: DataFrame, right_counts: DataFrame, keys: list[str],
-               split_rows: int) -> DataFrame | None:
-    """Key groups to split, as (keys, _sl, _sr): how many parts of the left and right side.
+class Split(NamedTuple):
+    """How to run a join whose groups differ in size."""
+
+    hot: DataFrame | None   # (keys, _sl, _sr): parts of the left and right side of large groups
+    tasks: int | None       # partitions for the join, where its work asks for more than usual
+
+
+def work_tasks(spark: SparkSession, work: float | None) -> int | None:
+    """Partitions for a join that tests ``work`` pairs, or None if the usual number will do.
 
-    The counts come in as (keys, _nl) and (keys, _nr). None when no group is too large.
+    Spark sizes tasks by bytes read, and a join may test many pairs per byte.
     """
-    hot = (left_counts.join(right_counts, keys)
-           .where((F.col("_nl") > split_rows) | (F.col("_nr") > split_rows))
-           .select(*keys, F.ceil(F.col("_nl") / split_rows).cast("int").alias("_sl"),
-                   F.ceil(F.col("_nr") / split_rows).cast("int").alias("_sr")))
-    head = hot.limit(HOT_BROADCAST + 1).collect()
-    if not head:
-        return None
-    if len(head) <= HOT_BROADCAST:
-        return F.broadcast(left_counts.sparkSession.createDataFrame(head, hot.schema))
-    return hot
-
-
-def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None,
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = math.ceil((work or 0) / TASK_PAIRS)
+    return min(tasks, MAX_TASKS) if tasks > usual or (work or 0) > TASK_PAIRS else None
+
+
+def hot_groups(left_counts: DataFrame, right_counts: DataFrame, keys: list[str],
+               split_rows: int) -> Split:
+    """Measure the groups of a join from their sizes (keys, _nl) and (keys, _nr)."""
+    spark = left_counts.sparkSession
+    sizes = left_counts.join(right_counts, keys)
+    large = (F.col("_nl") > split_rows) | (F.col("_nr") > split_rows)
+    total = sizes.agg(F.sum(F.col("_nl").cast("double") * F.col("_nr")).alias("work"),
+                      F.count_if(large).alias("hot")).first()
+    tasks = work_tasks(spark, total.work)
+    if not total.hot:
+        return Split(None, tasks)
+    hot = sizes.where(large).select(
+        *keys, F.ceil(F.col("_nl") / split_rows).cast("int").alias("_sl"),
+        F.ceil(F.col("_nr") / split_rows).cast("int").alias("_sr"))
+    if total.hot <= HOT_BROADCAST:
+        hot = F.broadcast(spark.createDataFrame(hot.collect(), hot.schema))
+    return Split(hot, tasks)
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], split: Split | None,
                condition: Column, how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` plus ``condition``, with the hot groups cut into blocks.
 
@@ -107,6 +130,7 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFram
     only the left side is cut: each left row has to see the whole right group.
     """
     on = list(keys)
+    hot, tasks = split or (None, None)
     if hot is not None:
         left_parts = F.coalesce(F.col("_sl"), F.lit(1))
         right_parts = F.coalesce(F.col("_sr"), F.lit(1)) if how == "inner" else F.lit(1)
@@ -117,6 +141,8 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFram
         left = left.join(hot, keys, "left").select(*left.columns, left_part, every_right)
         right = right.join(hot, keys, "left").select(*right.columns, right_part, every_left)
         on += ["_i", "_j"]
+    if tasks is not None:
+        left, right = left.repartition(tasks, *on), right.repartition(tasks, *on)
     right = right.withColumnsRenamed({k: "_r" + k for k in on})
     match = condition
     for k in on:
@@ -136,8 +162,8 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[tuple[str, str]],
     right = table.withColumnsRenamed({k: n for (_, k), n in zip(keys, names)})
     counts = left.groupBy(*names).agg(F.count("*").alias("_nl")).where(F.col("_nl") > split_rows)
     single = counts.select(*names, F.lit(1).cast("long").alias("_nr"))
-    return split_join(left, right, names, hot_groups(counts, single, names, split_rows),
-                      F.lit(True), how)
+    split = hot_groups(counts, single, names, split_rows)
+    return split_join(left, right, names, split, F.lit(True), how)
 
 
 def grid_join(left: DataFrame, right: DataFrame, left_at: Sequence[Column],
@@ -161,8 +187,8 @@ def grid_join(left: DataFrame, right: DataFrame, left_at: Sequence[Column],
     right_counts = (_shifted(_own_cell(right, right_at, cell).groupBy(*keys)
                              .agg(F.count("*").alias("_n")), dims, around)
                     .groupBy(*keys).agg(F.sum("_n").alias("_nr")))
-    hot = hot_groups(left_counts, right_counts, keys, split_rows)
-    return split_join(near, far.drop("_o"), keys, hot, condition, how)
+    split = hot_groups(left_counts, right_counts, keys, split_rows)
+    return split_join(near, far.drop("_o"), keys, split, condition, how)
 
 
 def within_distance(left: DataFrame, right: DataFrame, radius: float,
@@ -222,9 +248,9 @@ def meeting_pairs(rows: DataFrame, xy: tuple[str, str], radius: float, order: Co
     counts = near.groupBy(*keys).agg(F.count("*").alias("_nl"))
     reached = (_shifted(counts.withColumnRenamed("_nl", "_n"), 2, half)
                .groupBy(*keys).agg(F.sum("_n").alias("_nr")))
-    hot = hot_groups(counts, reached, keys, split_rows)
+    split = hot_groups(counts, reached, keys, split_rows)
     near_enough = dist2(*a_xy, *b_xy) <= F.lit(float(radius) * float(radius))
-    return split_join(near, far, keys, hot, near_enough & (~F.col("_same") | order)).drop("_same")
+    return split_join(near, far, keys, split, near_enough & (~F.col("_same") | order)).drop("_same")
 
 
 def close_pairs(points: DataFrame, key: str, xy: tuple[str, str], radius: float,

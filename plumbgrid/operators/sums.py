@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.planar import dist2, valid_xy
 from ..session import cut
-from .pairs import SPLIT_ROWS, WIDEN, attach, meeting_pairs, within_distance
+from .pairs import SPLIT_ROWS, WIDEN, attach, meeting_pairs, within_distance, work_tasks
 
 # Above this many positions in a cell, cells meet cells.
 CROWDED = 256
@@ -46,6 +46,7 @@ class _Level(NamedTuple):
     spots: DataFrame     # positions with their cell (c0, c1)
     settled: DataFrame   # (a0, a1, a_*, b_*, class): all pairs of two cells in one class
     leaves: DataFrame    # (a0, a1, b0, b1): cells whose positions have to be compared
+    work: float          # pairs of positions in them
 
 
 def _in_cells(spots: DataFrame, side: float) -> DataFrame:
@@ -97,11 +98,13 @@ def _levels(spots: DataFrame, radii: Sequence[float]) -> Iterator[_Level]:
         if level == MAX_LEVEL:
             small = F.lit(True)
         cells = ["a0", "a1", "b0", "b1"]
+        found = doubtful.agg(F.sum(F.when(small, F.col("a_m") * F.col("b_m"))).alias("work"),
+                             F.count_if(~small).alias("large")).first()
         yield _Level(spots, judged.where(F.col("class") == F.col("_far")),
-                     doubtful.where(small).select(*cells))
-        large = doubtful.where(~small).select(*cells)
-        if large.isEmpty():
+                     doubtful.where(small).select(*cells), found.work)
+        if not found.large:
             return
+        large = doubtful.where(~small).select(*cells)
         # Doubt is mutual, so the first cells of the pairs are all the cells in doubt.
         open_cells = large.select(F.col("a0").alias("c0"), F.col("a1").alias("c1")).distinct()
         side /= 2
@@ -121,6 +124,10 @@ def _compared(level: _Level) -> DataFrame:
         {"x": f"{p}_x", "y": f"{p}_y", "c0": f"_{p}0", "c1": f"_{p}1",
          **{c: f"{p}_{c}" for c in SUMS}}) for p in "ab"}
     out = level.leaves
+    tasks = work_tasks(out.sparkSession, level.work)
+    if tasks is not None:
+        # By the first cell, so that its sums come together in one task.
+        out = out.repartition(tasks, "a0", "a1")
     for p in "ba":
         out = out.join(sides[p], (F.col(f"{p}0") == F.col(f"_{p}0")) & (F.col(f"{p}1") == F.col(f"_{p}1")))
     return out

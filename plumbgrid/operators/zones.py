@@ -144,14 +144,14 @@ def locate(points: DataFrame, edges: DataFrame, cell: float, xy: tuple[str, str]
     disjoint(placed.drop(*keys), cover.drop(*keys))
     weight = cover.agg(F.count("*") * 64 + F.coalesce(
         F.sum(F.greatest(F.size("_edges"), F.lit(0))) * 32, F.lit(0))).first()[0]
-    hot = None
+    split = None
     if weight <= broadcast_bytes:
         cover = F.broadcast(cover)
     else:
-        hot = hot_groups(placed.groupBy(*keys).agg(F.count("*").alias("_nl")),
+        split = hot_groups(placed.groupBy(*keys).agg(F.count("*").alias("_nl")),
                          cover.groupBy(*keys).agg(F.count("*").alias("_nr")), keys, split_rows)
     odd = crossings(x, y, "_edges", crosses_upward) % 2 == 1
-    met = split_join(placed, cover, keys, hot, F.lit(True))
+    met = split_join(placed, cover, keys, split, F.lit(True))
     columns = [*points.columns, F.col("_zone").alias(zone)]
     found = met.where(F.col("_edges").isNull() | ((F.col("_chunks") == 1) & odd)).select(*columns)
     if not cover.where(F.col("_chunks") > 1).isEmpty():
