@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from ..functions.planar import valid_xy
 from ..session import cut
 from .autocorr import centred
-from .pairs import SPLIT_ROWS, within_distance
+from .pairs import SPLIT_ROWS, attach, within_distance
 
 
 def with_index(rows: DataFrame, *order: Column | str, name: str = "index") -> DataFrame:
@@ -47,33 +47,86 @@ def permuted(points: DataFrame, key: str, value: str, replicates: int) -> DataFr
     return drawn.select(F.col("_k").alias(key), F.col("_drawn._v").alias("values"))
 
 
-def moran_test(points: DataFrame, key: str, xy: tuple[str, str], value: str, radius: float,
+def _replicated(points: DataFrame, key: str, xy: tuple[str, str], value: str,
+                replicates: int) -> DataFrame:
+    """(key, x, y, z): the centred values of each row, the given one first, then one per
+    replicate."""
+    rows = cut(centred(points.where(valid_xy(*xy)), value).select(key, *xy, "_z"))
+    drawn = permuted(rows, key, "_z", replicates)
+    return cut(rows.join(drawn, key).select(
+        F.col(key).alias("key"), F.col(xy[0]).alias("x"), F.col(xy[1]).alias("y"),
+        F.concat(F.array("_z"), "values").alias("z")))
+
+
+def _spots(rows: DataFrame, width: range) -> DataFrame:
+    """Positions with the number of their rows and, per replicate, the sums of their values
+    and squares."""
+    at = [F.col("z")[r] for r in width]
+    sums = rows.groupBy("x", "y").agg(
+        F.count("*").alias("n"), *[F.sum(z).alias(f"s{r}") for r, z in zip(width, at)],
+        *[F.sum(z * z).alias(f"q{r}") for r, z in zip(width, at)])
+    return cut(sums.select("x", "y", "n", F.array(*[f"s{r}" for r in width]).alias("s"),
+                           F.array(*[f"q{r}" for r in width]).alias("q")))
+
+
+def _met(spots: DataFrame, radius: float, split_rows: int) -> DataFrame:
+    return within_distance(spots, spots.toDF("bx", "by", "bn", "bs", "bq"), radius,
+                           ("x", "y"), ("bx", "by"), split_rows=split_rows)
+
+
+def global_test(points: DataFrame, key: str, xy: tuple[str, str], value: str, radius: float,
+                replicates: int, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """One row (n, moran_i, geary_c, replicates, moran_as_large, geary_as_small, moran_p,
+    geary_p): both statistics with binary weights against permutations of the values.
+
+    Every position carries its sums for all replicates, so pairs are formed once.
+    """
+    width = range(replicates + 1)
+    spots = _spots(_replicated(points, key, xy, value, replicates), width)
+    sums = _met(spots, radius, split_rows).agg(
+        F.sum(F.col("n") * F.col("bn")).alias("met"),
+        F.array(*[F.sum(F.col("s")[r] * F.col("bs")[r]) for r in width]).alias("cross"),
+        F.array(*[F.sum(F.col("q")[r] * F.col("bn")) for r in width]).alias("square"))
+    base = spots.agg(F.sum("n").alias("n"), F.sum(F.col("q")[0]).alias("q"))
+    out = sums.select("met", "cross", "square",
+                      *[base.select(c).scalar().alias(c) for c in ("n", "q")])
+    # Every row has met itself as well.
+    pairs, n, q = F.col("met") - F.col("n"), F.col("n"), F.col("q")
+    moran = F.transform("cross", lambda c: n / pairs * (c - q) / q)
+    geary = F.zip_with("square", "cross", lambda s, c: (n - 1) * (s - c) / (pairs * q))
+    out = out.select("n", moran.alias("i"), geary.alias("c"))
+
+    def share(name: str, beats) -> Column:
+        drawn = F.slice(name, 2, replicates)
+        return F.size(F.filter(drawn, lambda v: beats(v, F.col(name)[0])))
+
+    large, small = share("i", lambda v, own: v >= own), share("c", lambda v, own: v <= own)
+    return out.select(
+        "n", F.col("i")[0].alias("moran_i"), F.col("c")[0].alias("geary_c"),
+        F.lit(replicates).alias("replicates"), large.alias("moran_as_large"),
+        small.alias("geary_as_small"), ((large + 1) / (replicates + 1)).alias("moran_p"),
+        ((small + 1) / (replicates + 1)).alias("geary_p"))
+
+
+def local_test(points: DataFrame, key: str, xy: tuple[str, str], value: str, radius: float,
                replicates: int, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """One row (n, moran_i, replicates, as_large, p): Moran's I with binary weights against
-    permutations of the values.
+    """(key, degree, local_p, hot_p): for each row, the share of permutations in which its
+    product with the sum of its neighbours (local Moran), and the sum over its neighbours
+    and itself (Getis-Ord), is as large as the given one.
 
-    Every position carries its value sums for all replicates, so pairs are formed once.
+    For the product the row keeps its own value while its neighbours' are permuted.
     """
-    rows = cut(centred(points.where(valid_xy(*xy)), value).select(key, *xy, "_z"))
-    drawn = permuted(rows, key, "_z", replicates)
-    valued = rows.join(drawn, key).select(
-        F.col(xy[0]).alias("x"), F.col(xy[1]).alias("y"),
-        F.concat(F.array("_z"), "values").alias("values"))
     width = range(replicates + 1)
-    spots = cut(valued.groupBy("x", "y").agg(
-        F.count("*").alias("n"), F.sum(F.col("values")[0] * F.col("values")[0]).alias("q"),
-        *[F.sum(F.col("values")[r]).alias(f"s{r}") for r in width])
-        .select("x", "y", "n", "q", F.array(*[f"s{r}" for r in width]).alias("s")))
-    met = within_distance(spots, spots.toDF("bx", "by", "bn", "bq", "bs"), radius,
-                          ("x", "y"), ("bx", "by"), split_rows=split_rows)
-    sums = met.agg(F.sum(F.col("n") * F.col("bn")).alias("pairs"),
-                   F.array(*[F.sum(F.col("s")[r] * F.col("bs")[r]) for r in width]).alias("cross"))
-    base = spots.agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
-    out = sums.select("pairs", "cross", *[base.select(c).scalar().alias(c) for c in ("n", "q")])
-    # A row does not meet itself; its square is the same in every replicate taken together.
-    index = F.transform("cross", lambda c: F.col("n") / (F.col("pairs") - F.col("n"))
-                        * (c - F.col("q")) / F.col("q"))
-    out = out.select("n", index.alias("i"))
-    as_large = F.size(F.filter(F.slice("i", 2, replicates), lambda v: v >= F.col("i")[0]))
-    return out.select("n", F.col("i")[0].alias("moran_i"), F.lit(replicates).alias("replicates"),
-                      as_large.alias("as_large"), ((as_large + 1) / (replicates + 1)).alias("p"))
+    rows = _replicated(points, key, xy, value, replicates)
+    near = _met(_spots(rows, width), radius, split_rows).groupBy(
+        F.col("x").alias("_x"), F.col("y").alias("_y")).agg(
+        F.sum("bn").alias("_n"), F.array(*[F.sum(F.col("bs")[r]) for r in width]).alias("_sum"))
+    met = attach(rows, near, [("x", "_x"), ("y", "_y")], split_rows=split_rows)
+    met = met.select("key", (F.col("_n") - 1).alias("degree"), F.col("z")[0].alias("own"), "_sum",
+                     F.zip_with("_sum", "z", lambda s, z: s - z).alias("_lag"))
+    hot = F.size(F.filter(F.slice("_sum", 2, replicates), lambda v: v >= F.col("_sum")[0]))
+    local = F.size(F.filter(F.slice("_lag", 2, replicates),
+                            lambda v: v * F.col("own") >= F.col("_lag")[0] * F.col("own")))
+    return met.select(F.col("key").alias(key), "degree",
+                      F.when(F.col("degree") > 0, (local + 1) / (replicates + 1)).alias("local_p"),
+                      ((hot + 1) / (replicates + 1)).alias("hot_p"))

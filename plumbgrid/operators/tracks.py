@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from ..functions.clock import seconds_between
 from ..functions.sphere import haversine
 
 
@@ -61,7 +62,7 @@ def steps(fixes: DataFrame, key: str, ts: str, tie: str, lonlat: tuple[str, str]
     first, and no speed when no time has passed."""
     out = with_previous(fixes, key, ts, tie, [ts, *lonlat], bucket)
     lon, lat = lonlat
-    gap = F.timestamp_diff("MICROSECOND", F.col("prev_" + ts), F.col(ts)) / F.lit(1e6)
+    gap = seconds_between(F.col("prev_" + ts), F.col(ts))
     moved = haversine("prev_" + lon, "prev_" + lat, lon, lat)
     out = out.select(*fixes.columns, "_bucket", moved.alias("metres"), gap.alias("seconds"))
     return out.withColumn("speed", F.col("metres") / F.nullif("seconds", F.lit(0.0)))
@@ -81,7 +82,7 @@ def stays(fixes: DataFrame, key: str, ts: str, tie: str, lonlat: tuple[str, str]
     out = runs.groupBy(key, "stay").agg(
         F.count("*").alias("n"), F.min(ts).alias("started"), F.max(ts).alias("ended"),
         F.avg(lon).alias("lon"), F.avg(lat).alias("lat"))
-    lasted = F.timestamp_diff("MICROSECOND", F.col("started"), F.col("ended")) / F.lit(1e6)
+    lasted = seconds_between(F.col("started"), F.col("ended"))
     return out.where(lasted >= min_seconds)
 
 

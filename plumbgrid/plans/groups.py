@@ -37,18 +37,40 @@ def convex_hulls(spark, folder):
     return hulls.convex_hulls(t.embedding_points(spark, folder), "label", XY).select("label", "x", "y")
 
 
-@query("moran_test", f"""WITH {t.EV_SQL}, {PAIRS}, rep(rep) AS (SELECT unnest(range(1, 20))),
+DRAWN_SQL = f"""{t.EV_SQL}, {PAIRS}, rep(rep) AS (SELECT unnest(range(1, 20))),
   base AS (SELECT vec_id, v - m AS z, row_number() OVER (ORDER BY vec_id) AS k FROM e, m),
   draw AS (SELECT rep, vec_id, row_number() OVER (PARTITION BY rep ORDER BY
     CAST('0x' || substr(md5(rep || ':' || vec_id), 1, 15) AS BIGINT), vec_id) AS k FROM e, rep),
   given AS (SELECT rep, draw.vec_id, z FROM draw JOIN base USING (k)
-    UNION ALL SELECT 0, vec_id, z FROM base),
-  stat AS (SELECT a.rep, any_value(n) / CAST(count(*) AS DOUBLE) * sum(a.z * b.z) / any_value(q) AS i
+    UNION ALL SELECT 0, vec_id, z FROM base)"""
+
+
+@query("global_test", f"""WITH {DRAWN_SQL}, stat AS (SELECT a.rep,
+    any_value(n) / CAST(count(*) AS DOUBLE) * sum(a.z * b.z) / any_value(q) AS i,
+    (any_value(n) - 1) * sum((a.z - b.z) * (a.z - b.z)) / (2e0 * count(*) * any_value(q)) AS c
     FROM w JOIN given a ON a.vec_id = w.i JOIN given b ON b.vec_id = w.j AND a.rep = b.rep, m, q
-    GROUP BY a.rep)
-SELECT (SELECT n FROM m) AS n, round(max(i) FILTER (rep = 0), 9) AS moran_i, 19 AS replicates,
-  CAST(count(*) FILTER (rep > 0 AND i >= (SELECT i FROM stat WHERE rep = 0)) AS INTEGER) AS as_large,
-  (1 + count(*) FILTER (rep > 0 AND i >= (SELECT i FROM stat WHERE rep = 0))) / 20e0 AS p FROM stat""")
-def moran_test(spark, folder):
-    out = permutations.moran_test(t.valued_points(spark, folder), "vec_id", XY, "v", RADIUS, 19)
-    return rounded(out, 9, "moran_i")
+    GROUP BY a.rep),
+  own AS (SELECT i AS i0, c AS c0 FROM stat WHERE rep = 0),
+  s AS (SELECT CAST(count(*) FILTER (rep > 0 AND i >= i0) AS INTEGER) AS big,
+    CAST(count(*) FILTER (rep > 0 AND c <= c0) AS INTEGER) AS small FROM stat, own)
+SELECT n, round(i0, 9) AS moran_i, round(c0, 9) AS geary_c, 19 AS replicates,
+  big AS moran_as_large, small AS geary_as_small, (big + 1) / 20e0 AS moran_p,
+  (small + 1) / 20e0 AS geary_p FROM s, own, m""")
+def global_test(spark, folder):
+    """Moran's I and Geary's C against 19 permutations."""
+    out = permutations.global_test(t.valued_points(spark, folder), "vec_id", XY, "v", RADIUS, 19)
+    return rounded(out, 9, "moran_i", "geary_c")
+
+
+@query("local_test", f"""WITH {DRAWN_SQL}, lag AS (
+  SELECT given.rep, given.vec_id, any_value(given.z) AS z, count(w.j) AS d,
+    coalesce(sum(b.z), 0) AS lag FROM given LEFT JOIN w ON w.i = given.vec_id
+    LEFT JOIN given b ON b.vec_id = w.j AND b.rep = given.rep GROUP BY given.rep, given.vec_id),
+  own AS (SELECT vec_id, z AS z0, d, lag AS lag0 FROM lag WHERE rep = 0)
+SELECT vec_id, any_value(own.d) AS degree,
+  CASE WHEN any_value(own.d) > 0 THEN (count(*) FILTER (lag * z0 >= lag0 * z0) + 1) / 20e0 END AS local_p,
+  (count(*) FILTER (lag + z >= lag0 + z0) + 1) / 20e0 AS hot_p
+FROM lag JOIN own USING (vec_id) WHERE rep > 0 GROUP BY vec_id""")
+def local_test(spark, folder):
+    """Local Moran and Getis-Ord statistics against 19 permutations."""
+    return permutations.local_test(t.valued_points(spark, folder), "vec_id", XY, "v", RADIUS, 19)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.cells import square_cell
+from ..functions.clock import from_micros, has_zone, to_micros
 from ..functions.planar import valid_xy
 from ..functions.polygon import crosses_upward, crossings
 from ..operators.zones import zone_cover
@@ -20,11 +21,12 @@ def windowed_cells(fixes: DataFrame, ts: str, xy: tuple[str, str], size: float,
     """(started, col, row, n) per time window and square cell. State holds one count per open
     window and cell; windows older than the watermark are emitted once and forgotten."""
     col, row = square_cell(*xy, size)
-    return (fixes.where(valid_xy(*xy)).select(F.col(ts).cast("timestamp").alias("_ts"),
-                                              col.alias("col"), row.alias("row"))
+    zoned = has_zone(fixes, ts)
+    instant = F.timestamp_micros(to_micros(F.col(ts), zoned))
+    return (fixes.where(valid_xy(*xy)).select(instant.alias("_ts"), col.alias("col"), row.alias("row"))
             .withWatermark("_ts", delay).groupBy(F.window("_ts", window).alias("_w"), "col", "row")
             .agg(F.count("*").alias("n"))
-            .select(F.col("_w.start").cast("timestamp_ntz").alias("started"), "col", "row", "n"))
+            .select(from_micros(F.unix_micros("_w.start"), zoned).alias("started"), "col", "row", "n"))
 
 
 def with_zone(fixes: DataFrame, edges: DataFrame, cell: float, xy: tuple[str, str],
@@ -62,16 +64,17 @@ def zone_changes_live(fixes: DataFrame, key: str, ts: str, tie: str, zone: str,
     types = dict(fixes.dtypes)
     if {types[key], types[tie], types[zone]} - {"bigint", "int"}:
         raise ValueError("key, tie breaker and zone must be integers")
-    sent = fixes.select(F.col(key).cast("long").alias("k"), F.col(ts).cast("timestamp").alias("ts"),
+    zoned = has_zone(fixes, ts)
+    micros = to_micros(F.col(ts), zoned)
+    sent = fixes.select(F.col(key).cast("long").alias("k"), F.timestamp_micros(micros).alias("ts"),
                         F.col(tie).cast("long").alias("tie"), F.col(zone).isNotNull().alias("inside"),
                         F.coalesce(F.col(zone).cast("long"), F.lit(0)).alias("zone"),
-                        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+                        micros.alias("us"))
     schema = "k long, us long, tie long, was_inside boolean, was long, inside boolean, zone long"
     held = "inside boolean, zone long, us array<long>, tie array<long>, ins array<boolean>, zones array<long>"
     out = sent.withWatermark("ts", delay).groupBy("k").applyInPandasWithState(
         _advance, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
-    moment = F.timestamp_micros("us").cast("timestamp_ntz")
-    return out.select(F.col("k").alias(key), moment.alias(ts), F.col("tie").alias(tie),
+    return out.select(F.col("k").alias(key), from_micros(F.col("us"), zoned).alias(ts), F.col("tie").alias(tie),
                       F.when(F.col("was_inside"), F.col("was")).alias("left_zone"),
                       F.when(F.col("inside"), F.col("zone")).alias("entered_zone"))
 

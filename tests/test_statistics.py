@@ -152,7 +152,7 @@ def test_index_and_permutation(spark, frame, points):
     assert len(drawn) == len(points)
     for r in range(6):
         assert sorted(d["values"][r] for d in drawn) == sorted(p[3] for p in points)
-    test = permutations.moran_test(frame, "id", XY, "v", 0.3, 6).first()
+    test = permutations.global_test(frame, "id", XY, "v", 0.3, 6).first()
     assert test.moran_i == pytest.approx(autocorr.moran(frame, XY, "v", 0.3).first().moran_i)
     w, _ = matrix(points, 0.3)
     z = np.array([p[3] for p in points]) - np.mean([p[3] for p in points])
@@ -162,7 +162,17 @@ def test_index_and_permutation(spark, frame, points):
         v = np.array([draws[p[0]][r] for p in points])
         v = v - v.mean()
         stats.append(len(v) / w.sum() * (v @ w @ v) / (v @ v))
-    assert test.as_large == sum(s >= len(z) / w.sum() * (z @ w @ z) / (z @ z) for s in stats)
+    assert test.moran_as_large == sum(s >= len(z) / w.sum() * (z @ w @ z) / (z @ z) for s in stats)
+    assert test.geary_c == pytest.approx(autocorr.geary(frame, XY, "v", 0.3).first().geary_c)
+    local = permutations.local_test(frame, "id", XY, "v", 0.3, 6).collect()
+    lags = [w @ (np.array([draws[p[0]][r] for p in points]) - np.mean([p[3] for p in points]))
+            for r in range(6)]
+    far = [r for r in local if abs((w @ z)[r.id]) > 1e-6 and abs(z[r.id]) > 1e-6 and r.degree]
+    for r in far:
+        beats = sum(lag[r.id] * z[r.id] >= (w @ z)[r.id] * z[r.id] - 1e-9 for lag in lags)
+        assert r.local_p == pytest.approx((beats + 1) / 7, abs=1e-9) or min(
+            abs(lag[r.id] - (w @ z)[r.id]) for lag in lags) < 1e-9
+    assert len(local) == len(points) and len(far) > 20
 
 
 def test_grid_is_complete_and_quadrats_count_the_empty(frame, points):

@@ -43,6 +43,25 @@ def test_steps_do_not_depend_on_the_bucket(spark, bucket):
             assert (got[b[2]][0] > 0) == (a[3] != b[3])
 
 
+def test_clock_ignores_the_session_zone(spark):
+    """Times in the gap and in the repeated hour of a zone with daylight saving."""
+    from plumbgrid.functions import clock
+    from pyspark.sql import functions as F
+    times = [dt.datetime(2024, 3, 10, 1, 59, 59, 5), dt.datetime(2024, 3, 10, 2, 30, 0, 123456),
+             dt.datetime(2024, 11, 3, 1, 30), dt.datetime(1969, 12, 31, 23, 59, 59, 999999)]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(t, START) for t in times], "ts timestamp_ntz, base timestamp_ntz")
+        us = clock.to_micros(F.col("ts"), False)
+        rows = df.select("ts", us.alias("us"), clock.from_micros(us, False).alias("back"),
+                         clock.seconds_between(F.col("base"), F.col("ts")).alias("gap")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for r in rows:
+        assert r.us == (r.ts - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+        assert r.back == r.ts and r.gap == (r.ts - START).total_seconds()
+
+
 @pytest.mark.parametrize("bucket", ["hour", "day"])
 def test_stays(spark, bucket):
     rows = walk(2)
