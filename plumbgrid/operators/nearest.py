@@ -27,7 +27,7 @@ from .pairs import SPLIT_ROWS, attach, hot_groups, split_join
 
 MAX_LEVEL = 40
 # A cell with more points than this many times k gets a finer level.
-CROWDED = 8
+CROWDED = 4
 
 
 class _Frame:
@@ -65,7 +65,7 @@ def _pyramid(points: DataFrame, frame: _Frame, k: int) -> tuple[DataFrame, int]:
     dims = len(frame.names)
     keys = [f"_c{i}" for i in range(dims)]
     crowded = CROWDED * k
-    level = max(0, math.ceil(math.log(max(frame.n / (2 * k), 1), 2 ** dims)))
+    level = max(0, math.ceil(math.log(max(frame.n / k, 1), 4)))
     rest = points.select(*frame.names)
     counts = cut(rest.groupBy(*frame.cells(level)).agg(F.count("*").alias("n")))
     layers = [counts.select(F.lit(level).alias("_level"), *keys, "n")]
@@ -134,7 +134,8 @@ def _candidates(queries: DataFrame, points: DataFrame, names: Sequence[str],
     at = points.withColumnsRenamed(dict(zip(found, names)))
     frame = _Frame(at, names)
     if not frame.n:
-        return queries.join(points, F.lit(False)).withColumn("_d2", F.lit(0.0))
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in points.schema.fields]
+        return queries.where(F.lit(False)).select("*", *nothing, F.lit(0.0).alias("_d2"))
     bounded = cut(_bounded(queries, at, frame, k, slack, split_rows))
     keys = ["_level", *[f"_c{i}" for i in range(dims)]]
     # Cells twice as wide as those of the block: the reach then covers few of them.
