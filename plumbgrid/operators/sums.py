@@ -26,6 +26,8 @@ from .pairs import SPLIT_ROWS, WIDEN, attach, meeting_pairs, within_distance, wo
 
 # Above this many positions in a cell, cells meet cells.
 CROWDED = 256
+# unless the whole table gives no more pairs of positions than this.
+CHEAP_PAIRS = 100_000_000
 # Two cells with at most this many pairs of positions compare them.
 LEAF_PAIRS = 4096
 MAX_LEVEL = 60
@@ -141,8 +143,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _is_crowded(spots: DataFrame, side: float, crowded: int) -> bool:
+    """Whether comparing positions would cost more than the rounds of halving."""
     counts = _in_cells(spots, side).groupBy("c0", "c1").count()
-    return not counts.where(F.col("count") > crowded).isEmpty()
+    load = counts.agg(F.max("count").alias("most"), F.sum(
+        F.col("count").cast("double") * F.col("count") * 9).alias("pairs")).first()
+    return (load.most or 0) > crowded and load.pairs > CHEAP_PAIRS
 
 
 def position_sums(spots: DataFrame, radius: float, split_rows: int = SPLIT_ROWS,

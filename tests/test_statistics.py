@@ -28,6 +28,7 @@ def frame(spark, points):
                                                      (20_000, 3, 40), (9, 0, 1)])
 def test_sums(frame, points, radius, split_rows, crowded, leaf, monkeypatch):
     monkeypatch.setattr(sums, "LEAF_PAIRS", leaf)
+    monkeypatch.setattr(sums, "CHEAP_PAIRS", 0)
     value = {p[0]: p[3] for p in points}
     degree, lag = dict.fromkeys(value, 0), dict.fromkeys(value, 0.0)
     for a, b in brute.near(points, radius):
@@ -78,6 +79,7 @@ def test_local_statistics(frame, points):
 @pytest.mark.parametrize("crowded,leaf", [(256, 4096), (2, 30), (0, 1)])
 def test_variogram_and_ripley_count_copies(frame, points, crowded, leaf, monkeypatch):
     monkeypatch.setattr(sums, "LEAF_PAIRS", leaf)
+    monkeypatch.setattr(sums, "CHEAP_PAIRS", 0)
     found = {r.bin: (r.pairs, r.gamma) for r in autocorr.variogram(
         frame, XY, "v", 0.25, 4, crowded=crowded).collect()}
     bins = {}
