@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import clusters, hulls, permutations
 from ..sources import tables as t
 from .neighbours import PAIRS, RADIUS, XY, rounded
