@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbgrid.llm import packing
+from plumbgrid.llm import language, packing, pii
 from plumbgrid.llm.text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,18 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written packed and described from the files."""
     return packing.encoded(read(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: the patterns' spans, and those the field adds."""
+    docs = read(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.train(docs)))
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    found = language.predict(docs, language.train(docs.where(language.learnable())))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
