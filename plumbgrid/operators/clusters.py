@@ -95,7 +95,7 @@ def dbscan(points: DataFrame, key: str, xy: tuple[str, str], eps: float, min_poi
     named = core.groupBy(*CELL).agg(F.min("low").alias("_cell"))
     core = cut(attach(core, named, [(c, c) for c in CELL], split_rows=split_rows))
     nodes = core.select(F.col("_cell").alias("node")).distinct()
-    grouped = components(nodes, _cell_links(core, eps, side, split_rows), split_rows)
+    grouped = components(nodes, _cell_links(core, eps, side, split_rows))
     core = cut(attach(core, grouped, [("_cell", "node")], split_rows=split_rows).select(
         "x", "y", *CELL, F.col("component").alias("cluster")))
     border = _meet(

@@ -5,42 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
-from .pairs import SPLIT_ROWS, hot_groups, split_join
 
 
-def components(nodes: DataFrame, edges: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) where component is the smallest node of each component.
 
-    ``nodes`` has the column node, ``edges`` a and b. In every round each component that
-    touches a smaller one is hooked to the smallest it touches, chains of hooks are
-    shortened, and all nodes are relabelled. Rounds end when no edge joins two components;
-    their number grows with the logarithm of the graph, not with its diameter. A giant
-    component is one key of the relabelling join, so that join splits hot keys.
+    ``nodes`` has the column node, ``edges`` a and b. The method is that of alternating stars:
+    every edge is kept as (high, low). First each high end is tied to the smallest node its
+    low end is tied to, then all low ends of a node and the node itself are tied to the
+    smallest of them. Both steps keep what is connected connected, and they end in one star
+    per component around its smallest node, after rounds that grow with the logarithm of the
+    graph, whatever the order of its names. A step is one aggregate that combines before its
+    shuffle and one join with a single row per key on the other side, so a hub's or a giant
+    component's rows can be split over tasks by adaptive execution.
     """
-    labels = cut(nodes.select("node", F.col("node").alias("component")))
-    edges = cut(edges.select("a", "b"))
-    while True:
-        ends = labels.select(F.col("node").alias("_n"), F.col("component").alias("_l"))
-        left = edges.join(ends, F.col("a") == F.col("_n")).select("b", F.col("_l").alias("_la"))
-        both = left.join(ends, F.col("b") == F.col("_n")).select("_la", F.col("_l").alias("_lb"))
-        hooks = cut(both.where(F.col("_la") != F.col("_lb"))
-                    .groupBy(F.greatest("_la", "_lb").alias("_from"))
-                    .agg(F.min(F.least("_la", "_lb")).alias("_to")))
-        if hooks.isEmpty():
-            return labels
-        edges = cut(both.where(F.col("_la") != F.col("_lb"))
-                    .select(F.least("_la", "_lb").alias("a"), F.greatest("_la", "_lb").alias("b"))
-                    .distinct())
-        short = hooks
-        for _ in range(2):
-            onward = short.select(F.col("_from").alias("_at"), F.col("_to").alias("_next"))
-            short = (short.join(onward, F.col("_to") == F.col("_at"), "left")
-                     .select("_from", F.coalesce("_next", "_to").alias("_to")))
-        short = cut(short)
-        old = labels.groupBy("component").agg(F.count("*").alias("_nl"))
-        moves = old.join(short, F.col("component") == F.col("_from"), "left").select(
-            "component", F.coalesce("_to", "component").alias("_to"))
-        split = hot_groups(old, moves.select("component", F.lit(1).cast("long").alias("_nr")),
-                         ["component"], split_rows)
-        labels = cut(split_join(labels, moves, ["component"], split, F.lit(True))
-                     .select("node", F.col("_to").alias("component")))
+    links = cut(edges.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low"))
+                .where(F.col("high") != F.col("low")).distinct())
+    before = _state(links)
+    while before[0]:
+        tied = links.join(_smallest(links, "low"), "low", "left").select(
+            "high", F.coalesce("_to", "low").alias("low")).distinct()
+        links = cut(tied)
+        ends = links.join(_smallest(links, "high"), "high").select(
+            F.explode(F.array(F.struct(F.col("high").alias("high"), F.col("_to").alias("low")),
+                              F.struct(F.col("low").alias("high"), F.col("_to").alias("low")))).alias("_e"))
+        links = cut(ends.select("_e.high", "_e.low").where(F.col("high") != F.col("low")).distinct())
+        after = _state(links)
+        if after == before:
+            break
+        before = after
+    stars = links.select(F.col("high").alias("node"), F.col("low").alias("_to"))
+    return nodes.join(stars, "node", "left").select("node", F.coalesce("_to", "node").alias("component"))
+
+
+def _smallest(links: DataFrame, name: str) -> DataFrame:
+    """(``name``, _to): the smallest node that each high end is tied to."""
+    return links.groupBy(F.col("high").alias(name)).agg(F.min("low").alias("_to"))
+
+
+def _state(links: DataFrame) -> tuple:
+    """A count and a sum of hashes that change if the links do."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first())

@@ -128,12 +128,28 @@ def test_components_of_paths_and_stars(spark):
     path, star = names[:200], names[200:390]
     edges = list(zip(path, path[1:])) + [(star[0], s) for s in star[1:]]
     got = components.components(spark.createDataFrame([(n,) for n in names], "node long"),
-                                spark.createDataFrame(edges, "a long, b long"), split_rows=20)
+                                spark.createDataFrame(edges, "a long, b long"))
     root = {n: n for n in names}
     root.update(dict.fromkeys(path, min(path)) | dict.fromkeys(star, min(star)))
     assert {r.node: r.component for r in got.collect()} == root
 
 
+def test_components_of_ordered_reversed_and_zigzag_paths(spark):
+    n = 300
+    zigzag = [i // 2 if i % 2 == 0 else n - 1 - i // 2 for i in range(n)]
+    for k, path in enumerate((list(range(n)), list(range(n))[::-1], zigzag)):
+        nodes = spark.createDataFrame([(v,) for v in path] + [(n + 5,)], "node long")
+        edges = spark.createDataFrame(list(zip(path, path[1:])) + [(3, 3), (4, 5), (5, 4)], "a long, b long")
+        got = {r.node: r.component for r in components.components(nodes, edges).collect()}
+        assert got == dict.fromkeys(range(n), 0) | {n + 5: n + 5}, k
+
+
+def test_dbscan_of_a_line_is_one_cluster(spark):
+    rows = [(i, float(i), 0.0) for i in range(40)]
+    got = clusters.dbscan(spark.createDataFrame(rows, "id long, x double, y double"), "id", XY, 1.0, 2)
+    assert {r.cluster for r in got.collect()} == {0}
+
+
 def test_hulls(spark):
     square = [(1, float(x), float(y)) for x in range(5) for y in range(5)] * 3
     rows = square + [(2, 1.0, 1.0)] * 4 + [(3, 0.0, 0.0), (3, 1.0, 1.0), (3, 2.0, 2.0), (3, None, 1.0)]
