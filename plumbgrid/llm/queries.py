@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbgrid.llm import language, packing, pii
+from plumbgrid.llm import language, near, packing, pii
 from plumbgrid.llm.text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,9 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = language.predict(docs, language.train(docs.where(language.learnable())))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 % of their three-word shingles."""
+    return near.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
