@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbgrid.llm import language, near, packing, pii
+from plumbgrid.llm import language, near, packing, pii, substrings
 from plumbgrid.llm.text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +50,25 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 % of their three-word shingles."""
     return near.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 13-word passages that an earlier one holds."""
+    found = substrings.without_repeats(read(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op2_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+           FROM documents),
+x AS (SELECT doc_id, ws, i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 12], ' ')) AS k FROM x WHERE i + 12 <= len(ws)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS lo FROM k) WHERE lo < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM r, (SELECT unnest(range(0, 13)) AS j)),
+kept AS (SELECT x.doc_id, string_agg(x.ws[x.i], ' ' ORDER BY x.i) AS t, count(*) AS n
+         FROM x LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.i = x.i WHERE g.i IS NULL GROUP BY x.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
