@@ -33,7 +33,7 @@ from plumbgrid.session import scratch_path
 #: Ids after which a block ends with the document that is being written.
 BLOCK_IDS = 1 << 18
 #: Pieces of text whose ids a task remembers before it starts afresh.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 
 #: The rule by which a tokenizer with word ends cuts a text, and the ASCII
 #: punctuation that this rule parts from letters before it (without the apostrophe).
@@ -144,7 +144,9 @@ class Encoder:
             return self.each([text or "" for text in texts])
         pieces = [(text or "").encode().split() for text in texts]
         if len(self.known) > CACHE_PIECES:
-            self.known, self.known_words = {}, {}
+            self.known = {}
+        if len(self.known_words) > CACHE_PIECES:
+            self.known_words = {}
         known = self.known
         self.learn(list({piece for row in pieces for piece in row if piece not in known}))
         return [b"".join([known[p] for p in row]) for row in pieces]
