@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbgrid.llm import language, near, packing, pii, substrings
+from plumbgrid.llm import fingerprints, language, near, packing, pii, substrings
+from plumbgrid.session import cut
 from plumbgrid.llm.text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +73,17 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
        sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
+
+
+@query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    made = cut(fingerprints.with_edits(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.fingerprint(F.col("text")).alias("fingerprint"),
+        fingerprints.fingerprint(F.col("edited")).alias("edited_fingerprint")))
+    following = made.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fingerprint").alias("_next"))
+    return made.join(following, "next_id").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"))
