@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbgrid.llm import fingerprints, language, near, packing, pii, substrings
+from plumbgrid.llm import fingerprints, language, near, packing, pii, secrets, substrings
 from plumbgrid.session import cut
 from plumbgrid.llm.text import read
 
@@ -87,3 +87,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         fingerprints.likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"))
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, found through a trigram index."""
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
+SQL["op3_secrets"] = secrets.sql()
