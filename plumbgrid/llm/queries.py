@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbgrid.llm import fingerprints, language, near, packing, pii, secrets, substrings
+from plumbgrid.llm import fingerprints, language, mixing, near, packing, pii, secrets, substrings
 from plumbgrid.session import cut
 from plumbgrid.llm.text import read
 
@@ -96,3 +96,16 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op3_secrets"] = secrets.sql()
+
+
+#: Share of the greatest entropy that mixed sources reach, and how often a source is repeated.
+MIX_ENTROPY, MIX_REPEATS = 0.97, 4.0
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mixture of all sources takes of every document, under a budget of all tokens."""
+    docs = read(spark, sf_dir, "documents")
+    return mixing.mixed(docs, entropy=MIX_ENTROPY, repeats=MIX_REPEATS).select(
+        "doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"),
+        F.col("_epoch").alias("epoch"), F.col("_order").alias("block_order"))
