@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbgrid.llm import fingerprints, language, mixing, near, packing, pii, secrets, substrings
+from plumbgrid.llm import fingerprints, language, mixing, near, packing, pii, secrets, substrings, urls
 from plumbgrid.session import cut
 from plumbgrid.llm.text import read
 
@@ -109,3 +109,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, entropy=MIX_ENTROPY, repeats=MIX_REPEATS).select(
         "doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"),
         F.col("_epoch").alias("epoch"), F.col("_order").alias("block_order"))
+
+
+@query
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's URL, by the given rules or by mined ones."""
+    return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"))
