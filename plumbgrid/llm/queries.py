@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbgrid.llm import fingerprints, language, mixing, near, packing, pii, secrets, substrings, urls
+from plumbgrid.llm import decontaminate, fingerprints, language, mixing, near, packing, pii, secrets, substrings, urls
 from plumbgrid.session import cut
 from plumbgrid.llm.text import read
 
@@ -115,3 +115,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every page's URL, by the given rules or by mined ones."""
     return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and the evidence."""
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
