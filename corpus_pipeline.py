@@ -1,31 +1,68 @@
-"""A corpus from raw documents to packed token ids, in stages of the subpackage's operators."""
+"""A corpus from raw documents to packed token ids, in stages of the operators in plumbgrid.llm.
+
+Each stage works on the rows that the one before it kept; all but the last return the columns
+of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbgrid.llm import packing, queries
-from plumbgrid.session import scratch_path
+from plumbgrid.llm import decontaminate, language, mixing, near, packing, queries
+from plumbgrid.llm.text import read
+from plumbgrid.session import cut, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Near duplicates of this stage: shingles of five words, similarity in percent.
+SHINGLE, SIMILARITY = 5, 80
+END_ID = 2
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear stay: not those without a letter or between two languages.
+
+    Learns from all rows with a language that are not held out.
+    """
+    found = language.predict(docs, language.train(docs.where(language.learnable())), keep=docs.columns)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of near-duplicates stays."""
+    gone = cut(near.near_duplicates(docs, SHINGLE, SIMILARITY).where(~F.col("kept")).select("doc_id").distinct())
+    return near.without(docs, gone)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of sources takes them, each of them once at least."""
+    return mixing.mixed(docs, entropy=queries.MIX_ENTROPY, repeats=queries.MIX_REPEATS, cover=True).select(*docs.columns)
+
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's ids, written packed and described from the files."""
-    return packing.encoded(docs, queries.tokenizer_file(), end_id=2)
+    """Every row's ids, written packed and described from the files."""
+    return packing.encoded(docs, queries.tokenizer_file(), END_ID)
 
 
-STAGES: list[tuple[str, Stage]] = [("token ids", token_ids)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language ID", identify), ("MinHash near-dedup", deduplicate), ("benchmark decontamination", decontaminated),
+    ("mixing sources to target weights", mix), ("token-ID / binary output", token_ids)]
 
-#: Trained models, sketches and the tokenizer can not be written in SQL.
+#: Trained models, searches in a latent space and the tokenizer can not be written in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, each written and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = scratch_path(spark, f"stage-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)

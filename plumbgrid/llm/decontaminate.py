@@ -277,4 +277,4 @@ def searched(docs: DataFrame, known: Space, cosine: float) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` without a leak; rows without doc_id stay."""
     found = cut(leaks(docs, benchmark).select("doc_id").distinct())
-    return docs.join(small_or_shuffled(found), "doc_id", "left_anti")
+    return docs.join(small_or_shuffled(found), "doc_id", "left_anti").select(*docs.columns)

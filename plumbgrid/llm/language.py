@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbgrid.llm.text import slices
 
@@ -159,8 +160,8 @@ def losses(places: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1) and ambiguous, one row per row of `docs`.
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """doc_id (or the columns `keep`), lang_pred, score (0 to 1) and ambiguous, one row per row.
 
     Reads text only. A null text, one without letters, or a model without languages gives
     `und` with score 0. Ties go to the first language in order and are ambiguous.
@@ -172,7 +173,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         is_letter, known = letters(), Model(*shared.value)
         names = np.array([*known.languages, UNKNOWN], dtype=object)
         for batch in batches:
-            texts = pc.utf8_lower(pc.fill_null(batch.column(1), ""))
+            texts = pc.utf8_lower(pc.fill_null(batch.column(len(kept)), ""))
             for start, end in slices(texts):
                 places, offsets = grams(texts[start:end].to_pylist(), is_letter)
                 some = (np.diff(offsets) > 0) & bool(known.languages)
@@ -186,9 +187,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     if len(known.languages) > 1:
                         doubt = ~some | (order[:, 1] - order[:, 0] < AMBIGUOUS)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[start:end], pa.array(names[best], pa.string()),
+                    [*[batch.column(c)[start:end] for c in range(len(kept))], pa.array(names[best], pa.string()),
                      pa.array(score, pa.float64()), pa.array(doubt, pa.bool_())],
-                    ["doc_id", "lang_pred", "score", "ambiguous"])
+                    [*kept, "lang_pred", "score", "ambiguous"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        work, "doc_id bigint, lang_pred string, score double, ambiguous boolean")
+    kept = ["doc_id"] if keep is None else keep
+    rows = docs.select(*kept, F.col("text").cast("string").alias("_text"))
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()),
+                           T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+    return rows.mapInArrow(work, schema)

@@ -281,3 +281,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     component = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is not in `gone` (doc_id, a written table)."""
+    return docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(*docs.columns)
