@@ -8,20 +8,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.planar import valid_xy
 from .pairs import SPLIT_ROWS
 from .sums import CROWDED, class_sums, position_sums, positions, sums_within
 
 
-def centred(points: DataFrame, value: str) -> DataFrame:
-    """Points with ``_z``, the value less its mean; the mean is a subquery of the same plan."""
-    known = points.where(F.col(value).isNotNull())
+def centred(points: DataFrame, value: str, xy: tuple[str, str]) -> DataFrame:
+    """Points with ``_z``, the value less its mean; the mean is a subquery of the same plan.
+
+    Rows without a position or a value (null or NaN) are in neither the mean nor the sums."""
+    known = points.where(valid_xy(*xy) & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     mean = known.agg(F.avg(value).alias("mean")).scalar()
     return known.withColumn("_z", F.col(value) - mean)
 
 
 def _sums(points: DataFrame, xy: tuple[str, str], value: str, radius: float,
           split_rows: int) -> DataFrame:
-    return position_sums(positions(centred(points, value), xy, "_z"), radius, split_rows)
+    return position_sums(positions(centred(points, value, xy), xy, "_z"), radius, split_rows)
 
 
 def _share(standardise: bool) -> Column:
@@ -68,7 +71,7 @@ def local_moran(points: DataFrame, key: str, xy: tuple[str, str], value: str, ra
     The quadrant says whether a row and its neighbours lie above (H) or below (L) the mean.
     Rows without neighbours have a null statistic.
     """
-    rows = centred(points, value).select(key, *xy, "_z")
+    rows = centred(points, value, xy).select(key, *xy, "_z")
     second = rows.agg(F.avg(F.col("_z") * F.col("_z")).alias("m2")).scalar()
     near = sums_within(rows, xy, radius, "_z", split_rows)
     mean_near = F.col("lag") / F.nullif("degree", F.lit(0))
@@ -81,7 +84,7 @@ def local_moran(points: DataFrame, key: str, xy: tuple[str, str], value: str, ra
 def hot_spots(points: DataFrame, key: str, xy: tuple[str, str], value: str, radius: float,
               split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Getis-Ord Gi*: (key, degree, gi_star), each row counted among its own neighbours."""
-    rows = centred(points, value).select(key, *xy, "_z")
+    rows = centred(points, value, xy).select(key, *xy, "_z")
     total = rows.agg(F.count("*").alias("n")).scalar()
     deviation = rows.agg(F.sqrt(F.avg(F.col("_z") * F.col("_z"))).alias("sd")).scalar()
     near = sums_within(rows, xy, radius, "_z", split_rows)
@@ -99,7 +102,7 @@ def variogram(points: DataFrame, xy: tuple[str, str], value: str, lag: float, bi
     Unordered pairs of rows; those at one position fall in bin 0.
     """
     lag = float(lag)
-    spots = positions(centred(points, value), xy, "_z")
+    spots = positions(centred(points, value, xy), xy, "_z")
     sums = class_sums(spots, [lag * (i + 1) for i in range(bins)],
                       lambda d2: F.floor(F.sqrt(d2) / F.lit(lag)), split_rows, crowded)
     return sums.select(F.col("class").alias("bin"), "pairs",

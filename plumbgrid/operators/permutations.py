@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from ..functions.planar import valid_xy
 from ..session import cut
 from .autocorr import centred
 from .pairs import SPLIT_ROWS, attach, within_distance
 
+# Sums that differ by less than this share of their size are equal but for rounding.
+TIE = 1e-9
+
 
 def with_index(rows: DataFrame, *order: Column | str, name: str = "index") -> DataFrame:
     """Rows numbered from 0 in the given order, without bringing them to one task.
@@ -51,7 +53,7 @@ def _replicated(points: DataFrame, key: str, xy: tuple[str, str], value: str,
                 replicates: int) -> DataFrame:
     """(key, x, y, z): the centred values of each row, the given one first, then one per
     replicate."""
-    rows = cut(centred(points.where(valid_xy(*xy)), value).select(key, *xy, "_z"))
+    rows = cut(centred(points, value, xy).select(key, *xy, "_z"))
     drawn = permuted(rows, key, "_z", replicates)
     return cut(rows.join(drawn, key).select(
         F.col(key).alias("key"), F.col(xy[0]).alias("x"), F.col(xy[1]).alias("y"),
@@ -100,7 +102,11 @@ def global_test(points: DataFrame, key: str, xy: tuple[str, str], value: str, ra
         drawn = F.slice(name, 2, replicates)
         return F.size(F.filter(drawn, lambda v: beats(v, F.col(name)[0])))
 
-    large, small = share("i", lambda v, own: v >= own), share("c", lambda v, own: v <= own)
+    def slack(v: Column, own: Column) -> Column:
+        return F.lit(TIE) * (F.abs(v) + F.abs(own)) + F.lit(TIE * 1e-3)
+
+    large = share("i", lambda v, own: v >= own - slack(v, own))
+    small = share("c", lambda v, own: v <= own + slack(v, own))
     return out.select(
         "n", F.col("i")[0].alias("moran_i"), F.col("c")[0].alias("geary_c"),
         F.lit(replicates).alias("replicates"), large.alias("moran_as_large"),
@@ -123,10 +129,11 @@ def local_test(points: DataFrame, key: str, xy: tuple[str, str], value: str, rad
         F.sum("bn").alias("_n"), F.array(*[F.sum(F.col("bs")[r]) for r in width]).alias("_sum"))
     met = attach(rows, near, [("x", "_x"), ("y", "_y")], split_rows=split_rows)
     met = met.select("key", (F.col("_n") - 1).alias("degree"), F.col("z")[0].alias("own"), "_sum",
-                     F.zip_with("_sum", "z", lambda s, z: s - z).alias("_lag"))
-    hot = F.size(F.filter(F.slice("_sum", 2, replicates), lambda v: v >= F.col("_sum")[0]))
-    local = F.size(F.filter(F.slice("_lag", 2, replicates),
-                            lambda v: v * F.col("own") >= F.col("_lag")[0] * F.col("own")))
+                     F.zip_with("_sum", "z", lambda s, z: s - z).alias("_lag"),
+                     (F.lit(TIE) * F.col("_n") * F.array_max(F.transform("z", F.abs))).alias("_slack"))
+    hot = F.size(F.filter(F.slice("_sum", 2, replicates), lambda v: v >= F.col("_sum")[0] - F.col("_slack")))
+    local = F.size(F.filter(F.slice("_lag", 2, replicates), lambda v: (v - F.col("_lag")[0]) * F.signum("own")
+                            >= -F.col("_slack")))
     return met.select(F.col("key").alias(key), "degree",
                       F.when(F.col("degree") > 0, (local + 1) / (replicates + 1)).alias("local_p"),
                       ((hot + 1) / (replicates + 1)).alias("hot_p"))

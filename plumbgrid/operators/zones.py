@@ -44,8 +44,8 @@ def zone_measures(edges: DataFrame, zone: str = "zone_id") -> DataFrame:
 
 
 def extents(points: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    """Bounding box and row count per group."""
-    return points.groupBy(*by).agg(
+    """Bounding box and row count per group, of the rows with a position."""
+    return points.where(valid_xy(x, y)).groupBy(*by).agg(
         F.min(x).alias("x_min"), F.min(y).alias("y_min"),
         F.max(x).alias("x_max"), F.max(y).alias("y_max"), F.count("*").alias("n"))
 
@@ -96,9 +96,11 @@ def zone_cover(edges: DataFrame, cell: float, zone: str = "zone_id") -> DataFram
     row_edges = in_row.where(~flat).select(
         "_zone", "_c1", "seq", "x1", "y1", "x2", "y2", F.array_max("_cells").alias("_last"))
     edge = F.when(F.col("_last") >= F.col("_c0"), F.struct("x1", "y1", "x2", "y2"))
+    # An edge's part follows from its place, so that parts are even however rings are numbered.
+    parts = F.ceil(F.count("*").over(W.partitionBy("_zone", "_c1", "_c0")) / F.lit(CHUNK_EDGES))
     border = (border_cells.join(row_edges, ["_zone", "_c1"], "left")
-              .groupBy("_zone", "_c1", "_c0",
-                       F.floor(F.coalesce("seq", F.lit(0)) / F.lit(CHUNK_EDGES)).alias("_chunk"))
+              .withColumn("_chunk", F.pmod(F.xxhash64("x1", "y1", "x2", "y2"), parts))
+              .groupBy("_zone", "_c1", "_c0", "_chunk")
               .agg(F.collect_list(edge).alias("_edges"))
               .select("_zone", "_c0", "_c1", "_edges",
                       F.count("*").over(W.partitionBy("_zone", "_c1", "_c0")).alias("_chunks")))
@@ -130,8 +132,7 @@ def locate(points: DataFrame, edges: DataFrame, cell: float, xy: tuple[str, str]
     not regrouped afterwards, unless a zone has more edges in a cell than fit in one array.
 
     ``how`` may be inner, left_semi (in some zone) or left_anti (in none); the latter two
-    need the name of the points' ``key``. The rows of ``points`` must be distinct, as they
-    are with a key.
+    need the name of the points' ``key``. Equal rows of ``points`` each count.
     """
     if how != "inner" and (how not in {"left_semi", "left_anti"} or key is None):
         raise ValueError("how is inner, or left_semi or left_anti with a key")
@@ -155,9 +156,15 @@ def locate(points: DataFrame, edges: DataFrame, cell: float, xy: tuple[str, str]
     columns = [*points.columns, F.col("_zone").alias(zone)]
     found = met.where(F.col("_edges").isNull() | ((F.col("_chunks") == 1) & odd)).select(*columns)
     if not cover.where(F.col("_chunks") > 1).isEmpty():
+        # Equal rows fall in one group: each has met all parts of the cell, so the group holds
+        # as many rows as it has rows per part, and each of them has its share of the hits.
+        copies = F.col("_met") / F.col("_parts")
         in_parts = (met.where(F.col("_chunks") > 1)
-                    .groupBy(*points.columns, "_zone").agg(F.sum(odd.cast("int")).alias("_hits"))
-                    .where(F.col("_hits") % 2 == 1))
+                    .groupBy(*points.columns, "_zone").agg(
+                        F.sum(odd.cast("int")).alias("_hits"), F.count("*").alias("_met"),
+                        F.max("_chunks").alias("_parts"))
+                    .where((F.col("_hits") / copies).cast("bigint") % 2 == 1)
+                    .withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))))
         found = found.unionByName(in_parts.select(*columns))
     return found if how == "inner" else points.join(found.select(key), key, how)
 

@@ -10,10 +10,17 @@ from .moving import LOCATED_SQL, LONLAT
 from .registry import query
 
 
+# Files a micro-batch takes, so that state holds what the watermark's delay asks for and not a backlog.
+FILES_PER_TRIGGER = 16
+
+
 def event_stream(spark, folder):
+    """The events as a stream, whether the table is one file or a folder of files.
+
+    A pattern stands for either; the stream then lists what it matches."""
     schema = t.table(spark, folder, "events").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return t.located_events(files.parquet(folder))
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+    return t.located_events(files.parquet(f"{folder}/events.parque[t]"))
 
 
 # Windows and fixes the final watermark has passed: it trails the newest fix by two hours,

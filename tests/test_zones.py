@@ -149,3 +149,29 @@ def test_unknown_positions_have_no_distance(spark):
     row = df.select(sphere.haversine("lon", "lat", "lat", "lat"), sphere.bearing("lat", "lat", "lon", "lat"),
                     lon2, planar.distance("lon", "lat", "lat", "lat")).first()
     assert list(row) == [None] * 4
+
+
+def test_detailed_zones_keep_equal_points(spark):
+    import math
+    inside = [(0.1, 0.1, 1.0)] * 2 + [(-0.2, 0.3, 2.0)] * 3 + [(0.5, -0.5, 9.0), (2.0, 0.0, 5.0)]
+    points = spark.createDataFrame(inside, "x double, y double, v double")
+    for n in (500, 2000):
+        ring = [(math.cos(2 * math.pi * i / n), math.sin(2 * math.pi * i / n)) for i in range(n)]
+        rings = spark.createDataFrame([(1, [dict(x=a, y=b) for a, b in ring])],
+                                      "zone_id int, ring array<struct<x:double,y:double>>")
+        row = zones.zonal_stats(points, zones.ring_edges(rings), 4.0, ("x", "y"), "v").first()
+        assert (row.n, row.total) == (6, 17.0), n
+
+
+def test_parts_of_a_zone_with_many_rings_are_bounded(spark):
+    rings = [(1, [dict(x=a + u, y=b + w) for u, w in ((0.1, 0.1), (0.3, 0.1), (0.2, 0.3))])
+             for a in range(40) for b in range(25)]
+    edges = zones.ring_edges(spark.createDataFrame(rings, "zone_id int, ring array<struct<x:double,y:double>>"))
+    cover = zones.zone_cover(edges, 1000.0)
+    from pyspark.sql import functions as F
+    assert cover.agg(F.max(F.size("_edges"))).first()[0] <= 2 * zones.CHUNK_EDGES
+
+
+def test_extents_leave_out_unknown_positions(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (float("nan"), 3.0), (None, 4.0)], "x double, y double")
+    assert tuple(zones.extents(df, "x", "y").first()) == (1.0, 2.0, 1.0, 2.0, 1)
