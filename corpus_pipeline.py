@@ -27,8 +27,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Learns from all rows with a language that are not held out.
     """
-    found = language.predict(docs, language.train(docs.where(language.learnable())), keep=docs.columns)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    model = language.train(docs.where(language.learnable()))
+    found = language.predict(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model, keep=["_row"])
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select("_row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

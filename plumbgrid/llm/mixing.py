@@ -102,8 +102,11 @@ def mixed(docs: DataFrame, entropy: float | None = None, repeats: float | None =
 
     Rows without a word or a text are taken by no source. A null source is a source of its own.
     Equal rows stand or fall together where a block is cut. An empty table gives no rows.
+    Columns of `docs` with one of the four names are replaced.
     """
-    columns = docs.columns
+    own = ["_tokens", "_weight", "_epoch", "_order"]
+    columns = [c for c in docs.columns if c not in own]
+    docs = docs.select(F.struct(*columns).alias("_row"), "source", "doc_id", F.col("text").cast("string").alias("text"))
     plans = cut(plan(sized(docs).select("source", "tokens"), entropy, repeats, budget, cover))
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
     hashed = sized(docs).withColumnsRenamed({"tokens": "_tokens"}).where("_tokens > 0").withColumn("_key", key)
@@ -140,4 +143,5 @@ def mixed(docs: DataFrame, entropy: float | None = None, repeats: float | None =
     repeated = taken.withColumn("_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(
         F.array().cast("array<int>"))))
     order = F.xxhash64(F.lit(seed), F.col("_source"), F.col("_block"), F.col("_epoch"))
-    return repeated.select(*columns, "_tokens", "_weight", "_epoch", order.alias("_order"))
+    return repeated.select(*[F.col("_row")[c].alias(c) for c in columns], "_tokens", "_weight", "_epoch",
+                           order.alias("_order"))
