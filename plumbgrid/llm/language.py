@@ -70,8 +70,8 @@ def grams(texts: list[str], is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def learnable() -> Column:
-    """Rows to learn from: text and language there, and not held out."""
-    return F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()
+    """Rows to learn from: id, text and language there, and not held out."""
+    return F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()
 
 
 def held_out() -> Column:

@@ -114,11 +114,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def with_columns(spark_df: DataFrame, **kinds: str) -> DataFrame:
-    """The named columns only, cast; a table's other columns can not clash then."""
-    return spark_df.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()])
-
-
 def words(text: Column) -> Column:
     """The words of a text as an array, in SQL functions; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
