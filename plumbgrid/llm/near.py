@@ -8,8 +8,7 @@
    are candidates; where many documents are alike, neighbours share longer prefixes by
    themselves, so the depth follows the region. At likeness 0.85 two sets miss each other in
    all trees with a chance of about 1e-10.
-3. In rounds, each document tests its best open candidates on full sets and what is linked is
-   united; candidates within one component need no test.
+3. Each document tests its best candidates on full sets, and what is linked is united.
 4. Components that still have candidates among each other are searched exactly: documents
    meet on the rarest shingles of their sets, as many as any pair above the threshold must
    share one of (prefix and position bounds), and every pair that meets is confirmed.
@@ -30,8 +29,8 @@ from plumbgrid.operators.components import components
 from plumbgrid.session import cut
 
 VALUES, TREES, DEPTH = 128, 32, 4
-#: Candidates that a document tests in a round, and rounds before the exact search.
-BEST, ROUNDS = 3, 2
+#: Candidates that a document tests before the exact search.
+BEST = 3
 
 
 def shingle_sets(texts: pa.Array, k: int, table: Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -250,29 +249,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
     texts = cut(docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string"))
                 .join(small_or_shuffled(ids), "rep"))
-    labels = cut(ids.select(F.col("rep").alias("node"), F.col("rep").alias("component")))
-    tested = links = None
-    remaining = pairs
-    for _ in range(ROUNDS):
-        both = remaining.select("a", "b", "trees", "depth", F.explode(F.array("a", "b")).alias("_own"))
-        best = Window.partitionBy("_own").orderBy(F.desc("trees"), F.desc("depth"), "a", "b")
-        chosen = cut(both.select("*", F.row_number().over(best).alias("_r")).where(F.col("_r") <= BEST)
-                     .select("a", "b").distinct())
-        good = cut(confirmed(chosen, texts, k, percent))
-        tested = chosen if tested is None else tested.unionByName(chosen)
-        links = good if links is None else links.unionByName(good)
-        labels = cut(components(ids.withColumnRenamed("rep", "node"), links))
-        remaining = cut(open_pairs(pairs, labels).select("a", "b", "trees", "depth")
-                        .join(tested, ["a", "b"], "left_anti"))
+    both = pairs.select("a", "b", "trees", "depth", F.explode(F.array("a", "b")).alias("_own"))
+    best = Window.partitionBy("_own").orderBy(F.desc("trees"), F.desc("depth"), "a", "b")
+    tested = cut(both.select("*", F.row_number().over(best).alias("_r")).where(F.col("_r") <= BEST)
+                 .select("a", "b").distinct())
+    nodes = ids.withColumnRenamed("rep", "node")
+    labels = cut(components(nodes, cut(confirmed(tested, texts, k, percent))))
     # Any pair that is still to be linked shares a region of some tree; along the sorted order
     # between its two there is a step from the one's component into another.
     steps = open_pairs(pairs, labels)
     touched = cut(steps.select(F.explode(F.array("ca", "cb")).alias("component")).distinct())
     members = cut(labels.join(small_or_shuffled(touched), "component").select(F.col("node").alias("rep"), "component"))
     rare = rare_pairs(texts.join(small_or_shuffled(members), "rep"), k, percent)
-    links = links.unionByName(confirmed(cut(rare.join(tested, ["a", "b"], "left_anti")), texts, k, percent))
-    # Rows of one doc_id with different texts represent classes under the same id.
-    labels = cut(components(ids.withColumnRenamed("rep", "node"), links))
+    more = cut(confirmed(cut(rare.join(tested, ["a", "b"], "left_anti")), texts, k, percent))
+    if not more.isEmpty():
+        # Components are united by a graph of components, which is much smaller.
+        joined = open_pairs(more, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        united = components(touched.withColumnRenamed("component", "node"), joined).toDF("component", "_to")
+        labels = cut(labels.join(united, "component", "left").select(
+            "node", F.coalesce("_to", "component").alias("component")))
     placed = classes.select("n", "s1", "s2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(
         "n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     # Null keys never meet; n is above 0 for all classes.
