@@ -11,7 +11,8 @@
 3. Each document tests its best candidates on full sets, and what is linked is united.
 4. Components that still have candidates among each other are searched exactly: documents
    meet on the rarest shingles of their sets, as many as any pair above the threshold must
-   share one of (prefix and position bounds), and every pair that meets is confirmed.
+   share one of (prefix and position bounds), and every pair that meets and whose sets can be
+   that close by a bitmap of their elements is confirmed.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from plumbgrid.session import cut
 
 VALUES, TREES, DEPTH = 128, 32, 4
 #: Candidates that a document tests before the exact search.
-BEST = 3
+BEST = 4
+#: Words of 64 bits in which a set is marked; each bit that differs is an element that differs.
+MARKS = 16
 
 
 def shingle_sets(texts: pa.Array, k: int, table: Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -191,9 +194,26 @@ def open_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where("ca <> cb")
 
 
+def marks(texts: DataFrame, k: int) -> DataFrame:
+    """rep and marks: MARKS * 64 bits, the one of each shingle's hash set."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Powers()
+        for batch in batches:
+            for start, end in slices(batch.column(1)):
+                sets, offsets = shingle_sets(batch.column(1)[start:end], k, table)
+                bits = np.zeros((end - start, MARKS * 64), dtype=np.uint8)
+                bits[np.repeat(np.arange(end - start), np.diff(offsets)), (sets % np.uint64(MARKS * 64)).astype(int)] = 1
+                rows = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[start:end], pa.array(rows.tolist(), pa.list_(pa.int64()))],
+                                                 ["rep", "marks"])
+
+    return texts.select("rep", "text").mapInArrow(work, "rep bigint, marks array<bigint>")
+
+
 def rare_pairs(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): all pairs of `texts` (rep, component, text) of different components that can
-    reach the threshold, by prefixes of their sets in ascending order of frequency."""
+    reach the threshold, by prefixes of their sets in ascending order of frequency and by the
+    bits in which their marks differ."""
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Powers()
         for batch in batches:
@@ -214,16 +234,18 @@ def rare_pairs(texts: DataFrame, k: int, percent: int) -> DataFrame:
         "rep", "component", "n", "shingle", (F.col("_lo") < F.col("_hi")).alias("_shared"),
         F.row_number().over(Window.partitionBy("rep").orderBy("seen", "shingle")).alias("at"))
     prefix = cut(ranked.where(F.col("_shared") & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
-                 .select("rep", "component", "n", "shingle", "at"))
-    one, two = [prefix.select("shingle", *[F.col(c).alias(f"{c}{i}") for c in ("rep", "component", "n", "at")])
+                 .select("rep", "component", "n", "shingle", "at").join(marks(texts, k), "rep"))
+    one, two = [prefix.select("shingle", *[F.col(c).alias(f"{c}{i}") for c in ("rep", "component", "n", "at", "marks")])
                 for i in (1, 2)]
     least, most = F.least("n1", "n2"), F.greatest("n1", "n2")
     # From this shingle on, at most so many can be shared; below it none is.
     possible = 1 + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    differ = sum((F.bit_count(F.col("marks1")[i].bitwiseXOR(F.col("marks2")[i])) for i in range(MARKS)), F.lit(0))
     return one.join(two, "shingle").where(
         (F.col("component1") != F.col("component2")) & (F.col("rep1") < F.col("rep2"))
         & (least * 100 >= most * percent)
-        & (possible * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)).select(
+        & (possible * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
+        & (differ * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent))).select(
         F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
