@@ -30,7 +30,7 @@ STEP, WINDOWS = 16, (2, 4)
 #: Latent dimensions, extra ones while they are searched, power iterations.
 RANK, EXTRA, POWER = 160, 16, 2
 #: Cosine above which an item is a candidate for a passage.
-COSINE = 0.35
+COSINE = 0.65
 #: Share of an item's words that a common subsequence must cover, alone and with the answer.
 COVER, COVER_WITH_ANSWER, ANSWER = 0.7, 0.5, 0.6
 #: Items of a benchmark that are searched at once; more take further passes over the documents.
@@ -185,12 +185,14 @@ def retrieved(words: np.ndarray, offsets: np.ndarray, known: Space,
     begins, owner = cuts(offsets)
     if not len(begins) or not len(known.items):
         return tuple(np.zeros(0, dtype=int) for _ in range(4)) + (np.zeros(0),)
-    keep = np.flatnonzero(at < len(known.vocabulary))
-    sums = np.zeros((len(begins), known.folded.shape[1]), dtype=np.float32)
-    first = np.searchsorted(keep, begins)
-    filled = np.flatnonzero(np.diff(np.append(first, len(keep))))
-    if len(filled):
-        sums[filled] = np.add.reduceat(known.folded[at[keep]], first[filled])
+    # Other words, and what a text's last step lacks, add a row of zeros.
+    folded = np.vstack([known.folded, np.zeros((1, known.folded.shape[1]), dtype=np.float32)])
+    grid = begins[:, None] + np.arange(STEP)
+    inside = grid < offsets[1:][owner][:, None]
+    grid = np.where(inside, at[np.where(inside, grid, 0)], len(known.vocabulary))
+    sums = np.empty((len(begins), folded.shape[1]), dtype=np.float32)
+    for low in range(0, len(grid), 1024):
+        sums[low:low + 1024] = folded[grid[low:low + 1024]].sum(axis=1)
     last_step = np.searchsorted(owner, owner, side="right")
     text_end = offsets[1:][owner]
     out: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -213,17 +215,24 @@ def retrieved(words: np.ndarray, offsets: np.ndarray, known: Space,
 
 def verified(words: np.ndarray, start: int, end: int, first: int, last: int, item: np.ndarray,
              answer: np.ndarray) -> tuple[float, float]:
-    """Share of the item and of its answer covered by common subsequences with the passage.
+    """Share of the item, and of its answer, covered by common subsequences with the passage.
 
-    The passage is widened by its text's words on both sides, as far as the item could reach.
+    The passage is widened by its text's words on both sides, as far as the item could reach. The
+    answer is looked at only where it decides, else its share is 0.
     """
     passage = words[max(first, start - len(item)):min(last, end + len(item))]
+    # No subsequence is longer than the words that both hold.
+    if np.isin(item, passage).sum() < COVER_WITH_ANSWER * len(item):
+        return 0.0, 0.0
     cover = common(item, passage) / max(len(item), 1)
-    return cover, common(answer, passage) / max(len(answer), 1)
+    decides = COVER_WITH_ANSWER <= cover < COVER
+    return cover, common(answer, passage) / max(len(answer), 1) if decides else 0.0
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, group: int = GROUP) -> DataFrame:
-    """doc_id, item_id, cosine, cover, answer_cover: items that a document holds, best first.
+    """doc_id, item_id, cosine, cover, answer_cover: items that a document holds.
+
+    answer_cover is 0 where the item's cover alone decides.
 
     `docs` needs doc_id and text, `benchmark` item_id and text; other columns are not looked at.
     One row per document and item that count. Items without a word, null texts and empty tables
@@ -259,7 +268,11 @@ def searched(docs: DataFrame, known: Space, cosine: float) -> DataFrame:
                 words, offsets = word_hashes(batch.column(1)[start:end], table, lower=True)
                 ids = batch.column(0)[start:end].to_pylist()
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                for text, first, past, item, near in zip(*retrieved(words, offsets, own, cosine)):
+                found = retrieved(words, offsets, own, cosine)
+                closest = np.argsort(-found[4], kind="stable")
+                for text, first, past, item, near in zip(*[x[closest] for x in found]):
+                    if best.get((int(text), int(item)), (0.0,))[0] >= COVER:
+                        continue  # the same passage in another window, or another place
                     cover, answer = verified(words, first, past, offsets[text], offsets[text + 1],
                                              own.words[item], own.answers[item])
                     if cover >= COVER or (cover >= COVER_WITH_ANSWER and answer >= ANSWER):
