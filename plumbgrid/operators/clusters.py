@@ -32,8 +32,9 @@ def _meet(thin: DataFrame, others: DataFrame, eps2: float, split_rows: int) -> D
     return split_join(spread, others, CELL, split, dist2("x", "y", "bx", "by") <= F.lit(eps2))
 
 
-def _cell_links(core: DataFrame, eps: float, side: float, split_rows: int) -> DataFrame:
-    """(a, b): cells, named by ``_cell``, that hold a pair of core points within reach."""
+def _cell_links(core: DataFrame, nodes: DataFrame, eps: float, side: float, split_rows: int) -> DataFrame:
+    """(a, b): links between cells, named by ``_cell``, that hold a pair of core points within
+    reach. Cells that boxes alone have tied together, if over others, need no such link."""
     eps2 = eps * eps
     sub = [F.floor(F.col(c) / F.lit(side / SUB)).alias(s) for c, s in (("x", "_s0"), ("y", "_s1"))]
     core = core.select("x", "y", "_cell", *CELL, *sub)
@@ -56,7 +57,9 @@ def _cell_links(core: DataFrame, eps: float, side: float, split_rows: int) -> Da
                             ((fx * fx + fy * fy) <= F.lit(eps2 * (1 - 1e-9))).alias("must"))
                  .where("may"))
     sure = judged.where("must").select("a", "b").distinct()
-    open_pairs = judged.join(sure, ["a", "b"], "left_anti")
+    tied = cut(components(nodes, sure))
+    open_pairs = (judged.join(tied.toDF("a", "_ca"), "a").join(tied.toDF("b", "_cb"), "b")
+                  .where("_ca <> _cb").drop("_ca", "_cb"))
     left = core.select(F.col("x").alias("ax"), F.col("y").alias("ay"), "_s0", "_s1")
     right = core.select(F.col("x").alias("bx"), F.col("y").alias("by"), "_s0", "_s1")
     first = open_pairs.withColumnsRenamed({"_as0": "_s0", "_as1": "_s1"}).join(
@@ -94,8 +97,8 @@ def dbscan(points: DataFrame, key: str, xy: tuple[str, str], eps: float, min_poi
         counted.where("core").select("x", "y", "low", *cells))
     named = core.groupBy(*CELL).agg(F.min("low").alias("_cell"))
     core = cut(attach(core, named, [(c, c) for c in CELL], split_rows=split_rows))
-    nodes = core.select(F.col("_cell").alias("node")).distinct()
-    grouped = components(nodes, _cell_links(core, eps, side, split_rows))
+    nodes = cut(core.select(F.col("_cell").alias("node")).distinct())
+    grouped = components(nodes, _cell_links(core, nodes, eps, side, split_rows))
     core = cut(attach(core, grouped, [("_cell", "node")], split_rows=split_rows).select(
         "x", "y", *CELL, F.col("component").alias("cluster")))
     border = _meet(

@@ -33,6 +33,9 @@ HOT_BROADCAST = 10_000
 # Pairs one task should test, and the most tasks a join is given for that reason.
 TASK_PAIRS = 100_000_000
 MAX_TASKS = 200_000
+# A right side of no more rows than this, copies to neighbouring cells included, is sent to the
+# left, which then is not shuffled and has no hot cells.
+SMALL_ROWS = 50_000
 
 
 def disjoint(left: DataFrame, right: DataFrame) -> None:
@@ -163,7 +166,14 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[tuple[str, str]],
     counts = left.groupBy(*names).agg(F.count("*").alias("_nl")).where(F.col("_nl") > split_rows)
     single = counts.select(*names, F.lit(1).cast("long").alias("_nr"))
     split = hot_groups(counts, single, names, split_rows)
-    return split_join(left, right, names, split, F.lit(True), how)
+    known = F.lit(True)
+    for n in names:
+        known = known & F.col(n).isNotNull()
+    out = split_join(left.where(known), right, names, split, F.lit(True), how)
+    if how == "left":
+        # Rows with an unknown key match nothing; together they could be one large key.
+        out = out.unionByName(left.where(~known).drop(*names), allowMissingColumns=True)
+    return out
 
 
 def grid_join(left: DataFrame, right: DataFrame, left_at: Sequence[Column],
@@ -179,16 +189,24 @@ def grid_join(left: DataFrame, right: DataFrame, left_at: Sequence[Column],
     keys = [f"_c{i}" for i in range(dims)]
     cell = reach * WIDEN
     around = list(itertools.product((-1, 0, 1), repeat=dims))
-    near = _own_cell(left, left_at, cell)
-    if how == "inner":
-        near = near.where(F.col("_c0").isNotNull())
+    every = _own_cell(left, left_at, cell)
+    near = every.where(F.col("_c0").isNotNull())
     far = _reached(right, right_at, cell, around)
     left_counts = near.groupBy(*keys).agg(F.count("*").alias("_nl"))
     right_counts = (_shifted(_own_cell(right, right_at, cell).groupBy(*keys)
                              .agg(F.count("*").alias("_n")), dims, around)
                     .groupBy(*keys).agg(F.sum("_n").alias("_nr")))
     split = hot_groups(left_counts, right_counts, keys, split_rows)
-    return split_join(near, far.drop("_o"), keys, split, condition, how)
+    far = far.drop("_o")
+    if (right_counts.agg(F.sum("_nr")).first()[0] or 0) <= SMALL_ROWS:
+        if split.tasks and near.rdd.getNumPartitions() < split.tasks:
+            near = near.repartition(split.tasks)
+        split, far = None, F.broadcast(far)
+    out = split_join(near, far, keys, split, condition, how)
+    if how == "left_anti":
+        # Rows without a position would otherwise share one key.
+        out = out.unionByName(every.where(F.col("_c0").isNull()).drop(*keys))
+    return out
 
 
 def within_distance(left: DataFrame, right: DataFrame, radius: float,
@@ -200,6 +218,8 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float,
     left_anti (rows within reach of none).
     """
     d2 = dist2(*left_xy, *right_xy)
+    if how != "inner":
+        right = right.select(*right_xy).distinct()
     out = grid_join(left, right, [F.col(c) for c in left_xy], [F.col(c) for c in right_xy],
                     radius, d2 <= F.lit(float(radius) * float(radius)), how, split_rows)
     return out.withColumn("distance", F.sqrt(d2)) if how == "inner" else out
@@ -213,6 +233,8 @@ def within_metres(left: DataFrame, right: DataFrame, metres: float,
     Cells are cubes around the unit sphere. A cheap chord test runs before the exact one.
     """
     reach = max(chord(metres) * WIDEN + 1e-12, 1e-8)
+    if how != "inner":
+        right = right.select(*right_lonlat).distinct()
 
     def placed(df: DataFrame, lonlat: tuple[str, str], name: str) -> DataFrame:
         return df.select("*", *[u.alias(f"{name}{i}")

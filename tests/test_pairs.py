@@ -128,7 +128,8 @@ def plan(df):
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-def test_plans_are_equi_joins(spark):
+def test_plans_are_equi_joins(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "SMALL_ROWS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         left = table(spark, crowd())
@@ -140,3 +141,21 @@ def test_plans_are_equi_joins(spark):
     for text in (flat, round_):
         assert "SortMergeJoin" in text
         assert "CartesianProduct" not in text and "NestedLoop" not in text and "EvalPython" not in text
+
+
+def test_small_sides_are_sent_without_a_shuffle(spark, monkeypatch):
+    left = spark.range(3000).selectExpr("id", "id % 50 * 1.0 as x", "id % 7 * 1.0 as y")
+    left = left.unionByName(spark.createDataFrame([(-1, None, 1.0)], "id long, x double, y double"))
+    right = spark.range(40).selectExpr("id as r", "id * 1.0 as u", "id % 7 * 1.0 as v")
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 10)
+    seen = {}
+    for rows in (50_000, 0):
+        monkeypatch.setattr(pairs, "SMALL_ROWS", rows)
+        for how in ("inner", "left_semi", "left_anti"):
+            out = pairs.within_distance(left, right, 1.0, ("x", "y"), ("u", "v"), how)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            if how == "inner":
+                assert ("hashpartitioning" in plan) == (rows == 0)
+            got = sorted(map(str, out.select("id").collect()))
+            assert seen.setdefault(how, got) == got
+    assert "Row(id=-1)" in seen["left_anti"] and len(seen["left_semi"]) + len(seen["left_anti"]) == 3001
