@@ -7,10 +7,11 @@ symbols of equal word sequences are the same wherever these stand.
 
 Each symbol knows the words on which its being there depends. A window of words is represented
 by its anchor: of the symbols that depend on words of the window only, one of the highest
-level, and there the one with the least name. Equal windows have equal anchors. So
+level, and there the one with the least name, together with the words it depends on. Equal
+windows have equal anchors. So
 
 1. only anchors in two documents matter (`shared`); all other text is done with after one
-   aggregate over anchors, about one for five words;
+   count of anchors, about one for five words;
 2. windows in a row with one anchor form a stretch, and stretches of equal words are settled as
    a whole: all but the first document's are removed;
 3. where one anchor has several different stretches, the first document of each compares its
@@ -22,7 +23,6 @@ This is exact up to collisions of 64-bit names of anchors and stretches taken to
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +34,11 @@ from plumbgrid.llm.text import (Powers, mix, signed, slices, small_or_shuffled,
                                 word_spans)
 from plumbgrid.session import cut
 
-ROUNDS = 3
+#: Rounds of pairs; more have longer symbols, but the anchors of windows then change more often.
+#: Runs are joined before the first only: later ones would make symbols depend on more words.
+ROUNDS = 2
+#: A stretch's first window and its windows (at most 13 of them, for each holds the anchor) in one number.
+PACK = 64
 
 
 def runs(name: np.ndarray, s: np.ndarray, e: np.ndarray, ds: np.ndarray, de: np.ndarray,
@@ -65,7 +69,7 @@ def pairs(name: np.ndarray, s: np.ndarray, e: np.ndarray, ds: np.ndarray, de: np
     return new_name[keep], s[keep], np.where(paired, e[after], e)[keep], ds[keep], new_de[keep], first[keep]
 
 
-def anchors(words: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(words: np.ndarray, offsets: np.ndarray, window: int, table: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(name, first window, windows) of each stretch of windows with one anchor, as places in `words`."""
     n = np.diff(offsets)
     fits = np.maximum(n - window + 1, 0)
@@ -78,10 +82,11 @@ def anchors(words: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nda
     level = (words, at, at + 1, at, at + 1, first)
     levels = [level]
     for number in range(1, ROUNDS + 1):
-        level = pairs(*runs(*level), number)
+        level = pairs(*(runs(*level) if number == 1 else level), number)
         levels.append(level)
     name = np.zeros(len(p), dtype=np.uint64)
     place = np.full(len(p), -1, dtype=np.int64)
+    start, end = np.zeros(len(p), dtype=np.int64), np.zeros(len(p), dtype=np.int64)
     for number in range(ROUNDS, -1, -1):
         todo = np.flatnonzero(place < 0)
         names, _, _, ds, de, _ = levels[number]
@@ -102,68 +107,95 @@ def anchors(words: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nda
             less = other < best[rest]
             best[rest[less]], which[rest[less]] = other[less], low[rest[less]] + j
         name[todo], place[todo] = best, which * (ROUNDS + 1) + number
+        start[todo], end[todo] = ds[which], de[which]
     head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (p[1:] != p[:-1] + 1)))
-    return mix(name[head] + np.uint64(1)), p[head], np.append(head[1:], len(p)) - head
+    n = np.append(head[1:], len(p)) - head
+    return mix(name[head]) ^ spans(words, start[head], end[head], table), p[head], n
 
 
 def stretches(docs: DataFrame, window: int) -> DataFrame:
-    """anchor, stretch (a name of its words), doc_id, at (first window), n (windows)."""
+    """anchor, stretch (a name of its words), doc_id, span (first window * PACK + windows) and
+    once (the first with this anchor in its document)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Powers()
         for batch in batches:
             for start, end in slices(batch.column(1)):
                 words, offsets = word_hashes(batch.column(1)[start:end], table)
-                name, p, n = anchors(words, offsets, window)
+                name, p, n = anchors(words, offsets, window, table)
                 owner = np.searchsorted(offsets, p, side="right") - 1
+                once = np.zeros(len(p), dtype=bool)
+                order = np.lexsort((p, name, owner))
+                new = (name[order][1:] != name[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+                once[order[np.append(True, new)[: len(order)]]] = True
                 ids = batch.column(0)[start:end].to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(name)), pa.array(signed(spans(words, p, p + n - 1 + window, table))),
-                     pa.array(ids[owner]), pa.array((p - offsets[owner]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["anchor", "stretch", "doc_id", "at", "n"])
+                     pa.array(ids[owner]), pa.array((p - offsets[owner]) * PACK + n), pa.array(once)],
+                    ["anchor", "stretch", "doc_id", "span", "once"])
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(
-        work, "anchor bigint, stretch bigint, doc_id bigint, at int, n int")
+        work, "anchor bigint, stretch bigint, doc_id bigint, span bigint, once boolean")
 
 
-def window_names(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """w1, w2 (a window's name), doc_id, at: the windows of the stretches in `wanted`."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("parts"))
+def intervals(found: DataFrame) -> DataFrame:
+    """doc_id, parts: the windows of each document's spans as array of start, end, start, end, ...,
+    in order and without overlap. A document's spans are as many as its words at most."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for row in batch.column(1).to_pylist():
+                packed = np.sort(np.array(row, dtype=np.int64))
+                start, end = packed // PACK, packed // PACK + packed % PACK
+                reach = np.maximum.accumulate(end)
+                new = np.append(True, start[1:] > reach[:-1])
+                parts.append(np.stack([start[new], np.append(reach[:-1][new[1:]], reach[-1])], axis=1).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.int32()))], ["doc_id", "parts"])
 
+    return found.groupBy("doc_id").agg(F.collect_list("span").alias("spans")).mapInArrow(
+        work, "doc_id bigint, parts array<int>")
+
+
+def window_names(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """w1, w2 (a window's name), doc_id, at: the windows of the documents' parts in `wanted`."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Powers()
         for batch in batches:
             for start, end in slices(batch.column(1)):
                 words, offsets = word_hashes(batch.column(1)[start:end], table)
-                p, owner = [], []
+                p, owner = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
                 for i, row in enumerate(batch.column(2)[start:end].to_pylist()):
-                    most = offsets[i + 1] - offsets[i] - window
-                    places = [x for part in row for x in range(part["at"], part["at"] + part["n"]) if x <= most]
-                    p += [offsets[i] + x for x in places]
-                    owner += [i] * len(places)
-                p, owner = np.array(p, dtype=np.int64), np.array(owner, dtype=np.int64)
+                    most = offsets[i + 1] - offsets[i] - window + 1
+                    for low, high in zip(row[0::2], row[1::2]):
+                        p.append(np.arange(low, min(high, most)) + offsets[i])
+                        owner.append(np.full(len(p[-1]), i))
+                p, owner = np.concatenate(p), np.concatenate(owner)
                 ids = batch.column(0)[start:end].to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(spans(words, p, p + window, table))),
                      pa.array(signed(spans(mix(words), p, p + window, table))),
-                     pa.array(ids[owner]), pa.array((p - offsets[owner]).astype(np.int32))], ["w1", "w2", "doc_id", "at"])
+                     pa.array(ids[owner]), pa.array(p - offsets[owner])], ["w1", "w2", "doc_id", "at"])
 
-    return docs.join(small_or_shuffled(cut(lists)), "doc_id").select("doc_id", "text", "parts").mapInArrow(
-        work, "w1 bigint, w2 bigint, doc_id bigint, at int")
+    return docs.join(small_or_shuffled(wanted), "doc_id").select("doc_id", "text", "parts").mapInArrow(
+        work, "w1 bigint, w2 bigint, doc_id bigint, at bigint")
 
 
 def repeated(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, at, n: windows whose words also stand in a document with a smaller doc_id."""
+    """doc_id, span: windows whose words also stand in a document with a smaller doc_id."""
     found = stretches(docs, window)
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi")
-    found = cut(found.join(shared.select("anchor"), "anchor"))
+    shared = found.where("once").groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1")
+    found = cut(found.drop("once").join(shared.select("anchor"), "anchor"))
     firsts = found.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("first"))
     many = cut(firsts.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"))
-    judged = found.join(firsts, ["anchor", "stretch"])
-    whole = judged.where("doc_id > first").select("doc_id", "at", "n")
-    own = cut(judged.where("doc_id = first").join(many, "anchor").select("doc_id", "at", "n"))
-    named = cut(window_names(docs, own, window))
+    judged = cut(found.join(firsts, ["anchor", "stretch"]).select(
+        F.when(F.col("doc_id") == F.col("first"), F.col("anchor")).alias("anchor"), "doc_id", "span"))
+    whole = judged.where("anchor is null").select("doc_id", "span")
+    own = cut(intervals(judged.where("anchor is not null").join(many, "anchor").select("doc_id", "span")))
+    # Names are made again rather than kept: most windows meet no other by their first name.
+    twice = window_names(docs, own, window).groupBy("w1").agg(F.count("*").alias("_n")).where("_n > 1").select("w1")
+    named = cut(window_names(docs, own, window).join(twice, "w1"))
     least = named.groupBy("w1", "w2").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi")
-    single = named.join(least, ["w1", "w2"]).where("doc_id > _lo").select("doc_id", "at", F.lit(1).alias("n"))
+    single = named.join(least, ["w1", "w2"]).where("doc_id > _lo").select(
+        "doc_id", (F.col("at") * PACK + 1).alias("span"))
     return whole.unionByName(single)
 
 
@@ -178,8 +210,10 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     others. Rows of one doc_id do not remove each other's words; what is removed from one of
     them by place is removed from all. Other columns are not looked at.
     """
+    if not 1 <= window < PACK:
+        raise ValueError(f"window must be from 1 to {PACK - 1} words")
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    lists = cut(repeated(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("parts")))
+    lists = cut(intervals(repeated(docs, window)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,8 +224,8 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 count, removed, kept = np.diff(offsets), [], []
                 for i, row in enumerate(parts):
                     keep = np.ones(count[i], dtype=bool)
-                    for part in row or ():
-                        keep[part["at"]:part["at"] + part["n"] - 1 + window] = False
+                    for low, high in zip((row or [])[0::2], (row or [])[1::2]):
+                        keep[low:high - 1 + window] = False
                     places = np.flatnonzero(keep) + offsets[i]
                     kept.append(b" ".join([raw[a:b] for a, b in zip(s[places].tolist(), e[places].tolist())]).decode())
                     removed.append(count[i] - len(places))
