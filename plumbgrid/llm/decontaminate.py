@@ -2,8 +2,10 @@
 
 Passages of the benchmark become TF-IDF vectors over the benchmark's words, weighted by how many
 document passages hold a word, and a distributed randomised SVD gives them a latent space.
-Every document passage is folded into that space and compared with every benchmark passage by
-cosine; close ones are candidates. A candidate counts if the longest common subsequence of the
+A space holds no more benchmark passages than it has dimensions, so it loses nothing of them; a
+larger benchmark has several. Every document passage is folded into each space and compared with
+every benchmark passage by cosine; close ones are candidates, unless the passage holds too few of
+the item's words for any subsequence to count. A candidate counts if the longest common subsequence of the
 passage's and the item's words covers enough of the item, or less of it but the item's answer
 (its last sentence) as well, so that paraphrases with replaced or moved words are found.
 
@@ -25,12 +27,13 @@ from pyspark.sql import functions as F
 from plumbgrid.llm.text import Powers, slices, small_or_shuffled, word_hashes
 from plumbgrid.session import cut
 
-#: Words of a step; passages are WINDOWS steps long and begin at every step.
-STEP, WINDOWS = 16, (2, 4)
-#: Latent dimensions, extra ones while they are searched, power iterations.
+#: Words of a step; passages are WINDOWS steps long and begin at every step. Those of one step are for
+#: items of no more words, which would drown in longer ones.
+STEP, WINDOWS = 16, (1, 2, 4)
+#: Latent dimensions, and so the passages of a space; extra ones while they are searched, power iterations.
 RANK, EXTRA, POWER = 160, 16, 2
 #: Cosine above which an item is a candidate for a passage.
-COSINE = 0.65
+COSINE = 0.35
 #: Share of an item's words that a common subsequence must cover, alone and with the answer.
 COVER, COVER_WITH_ANSWER, ANSWER = 0.7, 0.5, 0.6
 #: Items of a benchmark that are searched at once; more take further passes over the documents.
@@ -38,13 +41,20 @@ GROUP = 5_000
 
 
 @dataclass
-class Space:
-    """A group of items: their vocabulary (sorted word hashes), latent vectors and words."""
+class Block:
+    """Item passages of one space: their vocabulary (sorted word hashes) and latent vectors."""
 
     vocabulary: np.ndarray
     folded: np.ndarray  # (word, dimension): what one occurrence adds to a passage
     items: np.ndarray  # (item passage, dimension), of length 1
     owner: np.ndarray  # item of each item passage
+
+
+@dataclass
+class Space:
+    """A group of items: the spaces of their passages, and their words."""
+
+    blocks: list[Block]
     ids: list
     words: list[np.ndarray]
     answers: list[np.ndarray]
@@ -134,7 +144,7 @@ def svd(rows: DataFrame, size: int, rank: int) -> np.ndarray:
 
 
 def space(docs: DataFrame, items: list, rank: int = RANK) -> Space:
-    """The latent space of `items` (id, text), by all documents' frequencies of their words."""
+    """The latent spaces of `items` (id, text), `rank` passages each, by all documents' frequencies of their words."""
     spark = docs.sparkSession
     table = Powers()
     words, offsets = word_hashes(pa.array([t or "" for _, t in items], pa.string()), table, lower=True)
@@ -151,18 +161,25 @@ def space(docs: DataFrame, items: list, rank: int = RANK) -> Space:
             place, count = np.unique(np.searchsorted(vocabulary, own[start:start + size]), return_counts=True)
             weight = count * idf[place]
             if weight.any():
-                vectors.append((place.tolist(), (weight / np.linalg.norm(weight)).tolist()))
+                vectors.append((place, weight / np.linalg.norm(weight)))
                 owner.append(i)
-    if not vectors:
-        return Space(vocabulary, np.zeros((len(vocabulary), 1)), np.zeros((0, 1)), np.zeros(0, dtype=int),
-                     [k for k, _ in items], each, [ends[s:e] for s, e in zip(at, at[1:])])
-    # As many rows as the group has passages.
-    rows = cut(spark.createDataFrame(vectors, "places array<int>, weights array<double>"))
-    basis = svd(rows, len(vocabulary), min(rank, len(vectors)))
-    latent = np.array([np.array(w) @ basis[p] for p, w in vectors])
-    norms = np.linalg.norm(latent, axis=1, keepdims=True)
-    return Space(vocabulary, (idf[:, None] * basis).astype(np.float32), (latent / np.maximum(norms, 1e-12)).astype(np.float32),
-                 np.array(owner), [k for k, _ in items], each, [ends[s:e] for s, e in zip(at, at[1:])])
+    blocks = []
+    # As even as they can be: what a block costs beside its passages is the same for all.
+    bounds = np.linspace(0, len(vectors), -(-len(vectors) // rank) + 1).astype(int) if vectors else []
+    for low, high in zip(bounds, bounds[1:]):
+        part, owners = vectors[low:high], np.array(owner[low:high])
+        # All words of the block's items, so that what is held of an item can be counted.
+        own = np.searchsorted(vocabulary, np.unique(np.concatenate([each[i] for i in np.unique(owners)])))
+        part = [(np.searchsorted(own, p), w) for p, w in part]
+        # As many rows as the block has passages.
+        rows = cut(spark.createDataFrame([(p.tolist(), w.tolist()) for p, w in part],
+                                         "places array<int>, weights array<double>"))
+        basis = svd(rows, len(own), min(rank, len(part)))
+        latent = np.array([w @ basis[p] for p, w in part])
+        norms = np.linalg.norm(latent, axis=1, keepdims=True)
+        blocks.append(Block(vocabulary[own], (idf[own][:, None] * basis).astype(np.float32),
+                            (latent / np.maximum(norms, 1e-12)).astype(np.float32), owners))
+    return Space(blocks, [k for k, _ in items], each, [ends[s:e] for s, e in zip(at, at[1:])])
 
 
 def common(one: np.ndarray, two: np.ndarray) -> int:
@@ -178,38 +195,100 @@ def common(one: np.ndarray, two: np.ndarray) -> int:
     return len(one) - row.bit_count()
 
 
-def retrieved(words: np.ndarray, offsets: np.ndarray, known: Space,
-              cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, past last word, item, cosine) of passages and the items near them."""
-    at = places(known.vocabulary, words)
+class Held:
+    """Upper bounds of how many of an item's words stand in a range of steps, by bits of the vocabulary."""
+
+    def __init__(self, at: np.ndarray, begins: np.ndarray, known: Block, words: list[np.ndarray]) -> None:
+        self.width = -(-max(len(known.vocabulary), 1) // 64)
+        step = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(at))))
+        keep = at < len(known.vocabulary)
+        self.levels = [self.bits(step[keep], at[keep], len(begins))]  # level k: of 2**k steps from each
+        # Plane m has an item's words that stand in it more than m times.
+        self.planes: list[np.ndarray] = []
+        items = np.unique(known.owner)
+        self.row = np.searchsorted(items, known.owner)
+        self.repeats = np.zeros(len(items), dtype=np.int64)
+        for i, item in enumerate(items):
+            place, count = np.unique(np.searchsorted(known.vocabulary, words[item]), return_counts=True)
+            self.repeats[i] = (count - 1).sum()
+            for m in range(int(count.max(initial=0))):
+                if m == len(self.planes):
+                    self.planes.append(np.zeros((len(items), self.width), dtype=np.uint64))
+                self.planes[m][i] = self.bits(np.zeros((count > m).sum(), dtype=int), place[count > m], 1)[0]
+
+    def bits(self, row: np.ndarray, place: np.ndarray, rows: int) -> np.ndarray:
+        out = np.zeros(rows * self.width, dtype=np.uint64)
+        np.bitwise_or.at(out, row * self.width + (place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+        return out.reshape(rows, self.width)
+
+    def enough(self, first: np.ndarray, last: np.ndarray, passage: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether steps first to last may hold `least` words of the item of each passage."""
+        depth = np.frexp((last - first + 1).astype(float))[1] - 1
+        for k in range(len(self.levels), depth.max(initial=0) + 1):
+            below, half = self.levels[-1], 1 << (k - 1)
+            self.levels.append(below.copy())
+            self.levels[-1][:-half] |= below[half:]
+        out = np.zeros(len(first), dtype=bool)
+        for k in np.unique(depth):
+            of = np.flatnonzero(depth == k)
+            for at in (of[low:low + 4096] for low in range(0, len(of), 4096)):
+                there = self.levels[k][first[at]] | self.levels[k][last[at] - (1 << k) + 1]
+                item = self.row[passage[at]]
+                n = np.bitwise_count(there & self.planes[0][item]).sum(axis=1, dtype=np.int64)
+                open_ = np.flatnonzero(n + self.repeats[item] >= least[at])
+                n, there, item, at = n[open_], there[open_], item[open_], at[open_]
+                for plane in self.planes[1:]:
+                    n += np.bitwise_count(there & plane[item]).sum(axis=1, dtype=np.int64)
+                out[at] = n >= least[at]
+        return out
+
+
+def retrieved(words: np.ndarray, offsets: np.ndarray, known: Space, cosine: float,
+              least: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, past last word, item, cosine) of passages and the items near them.
+
+    Without those of which the passage, widened as in `verified`, holds less than the share
+    `least` of the item's words.
+    """
     begins, owner = cuts(offsets)
-    if not len(begins) or not len(known.items):
-        return tuple(np.zeros(0, dtype=int) for _ in range(4)) + (np.zeros(0),)
-    # Other words, and what a text's last step lacks, add a row of zeros.
-    folded = np.vstack([known.folded, np.zeros((1, known.folded.shape[1]), dtype=np.float32)])
-    grid = begins[:, None] + np.arange(STEP)
-    inside = grid < offsets[1:][owner][:, None]
-    grid = np.where(inside, at[np.where(inside, grid, 0)], len(known.vocabulary))
-    sums = np.empty((len(begins), folded.shape[1]), dtype=np.float32)
-    for low in range(0, len(grid), 1024):
-        sums[low:low + 1024] = folded[grid[low:low + 1024]].sum(axis=1)
-    last_step = np.searchsorted(owner, owner, side="right")
+    out: list[list[np.ndarray]] = [[np.zeros(0, dtype=int)] for _ in range(4)] + [[np.zeros(0)]]
+    # First and last step of each step's text.
+    ends = np.searchsorted(owner, owner, side="left"), np.searchsorted(owner, owner, side="right") - 1
     text_end = offsets[1:][owner]
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
-    for steps in WINDOWS:
-        total = sums.copy()
-        for k in range(1, steps):
-            inside = np.flatnonzero(np.arange(len(begins)) + k < last_step)
-            total[inside] += sums[inside + k]
-        norm = np.linalg.norm(total, axis=1)
-        for low in range(0, len(total), 4096):
-            near = total[low:low + 4096] @ known.items.T
-            rows, items = np.nonzero(near >= cosine * np.maximum(norm[low:low + 4096], 1e-6)[:, None])
-            rows_at = rows + low
-            for parts, values in zip(out, (owner[rows_at], begins[rows_at],
-                                           np.minimum(begins[rows_at] + steps * STEP, text_end[rows_at]),
-                                           known.owner[items], near[rows, items] / np.maximum(norm[rows_at], 1e-6))):
-                parts.append(values)
+    lengths = np.array([len(w) for w in known.words], dtype=np.int64)
+    for block in known.blocks if len(begins) else []:
+        at = places(block.vocabulary, words)
+        held = Held(at, begins, block, known.words) if least else None
+        # Other words, and what a text's last step lacks, add a row of zeros.
+        folded = np.vstack([block.folded, np.zeros((1, block.folded.shape[1]), dtype=np.float32)])
+        grid = begins[:, None] + np.arange(STEP)
+        inside = grid < text_end[:, None]
+        grid = np.where(inside, at[np.where(inside, grid, 0)], len(block.vocabulary))
+        sums = np.empty((len(begins), folded.shape[1]), dtype=np.float32)
+        for low in range(0, len(grid), 1024):
+            sums[low:low + 1024] = folded[grid[low:low + 1024]].sum(axis=1)
+        for steps in WINDOWS:
+            total = sums.copy()
+            for k in range(1, steps):
+                inside = np.flatnonzero(np.arange(len(begins)) + k <= ends[1])
+                total[inside] += sums[inside + k]
+            norm = np.linalg.norm(total, axis=1)
+            fits = np.flatnonzero(lengths[block.owner] <= STEP) if steps == 1 else np.arange(len(block.owner))
+            for low in range(0, len(total), 4096):
+                near = total[low:low + 4096] @ block.items[fits].T
+                rows, items = np.nonzero(near >= cosine * np.maximum(norm[low:low + 4096], 1e-6)[:, None])
+                near, items = near[rows, items], fits[items]
+                if held:
+                    size = lengths[block.owner[items]]
+                    wider = -(-size // STEP)
+                    may = held.enough(np.maximum(rows + low - wider, ends[0][rows + low]),
+                                      np.minimum(rows + low + steps - 1 + wider, ends[1][rows + low]), items, least * size)
+                    rows, items, near = rows[may], items[may], near[may]
+                rows_at = rows + low
+                for parts, values in zip(out, (owner[rows_at], begins[rows_at],
+                                               np.minimum(begins[rows_at] + steps * STEP, text_end[rows_at]),
+                                               block.owner[items], near / np.maximum(norm[rows_at], 1e-6))):
+                    parts.append(values)
     return tuple(np.concatenate(parts) for parts in out)
 
 
@@ -259,16 +338,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, group:
 def searched(docs: DataFrame, known: Space, cosine: float) -> DataFrame:
     """The verified items of one group for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(
-        (known.vocabulary, known.folded, known.items, known.owner, known.ids, known.words, known.answers))
+        ([(b.vocabulary, b.folded, b.items, b.owner) for b in known.blocks], known.ids, known.words, known.answers))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, own = Powers(), Space(*shared.value)
+        blocks, *rest = shared.value
+        table, own = Powers(), Space([Block(*b) for b in blocks], *rest)
         for batch in batches:
             for start, end in slices(batch.column(1)):
                 words, offsets = word_hashes(batch.column(1)[start:end], table, lower=True)
                 ids = batch.column(0)[start:end].to_pylist()
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                found = retrieved(words, offsets, own, cosine)
+                found = retrieved(words, offsets, own, cosine, COVER_WITH_ANSWER)
                 closest = np.argsort(-found[4], kind="stable")
                 for text, first, past, item, near in zip(*[x[closest] for x in found]):
                     if best.get((int(text), int(item)), (0.0,))[0] >= COVER:
