@@ -47,12 +47,12 @@ class Block:
     vocabulary: np.ndarray
     folded: np.ndarray  # (word, dimension): what one occurrence adds to a passage
     items: np.ndarray  # (item passage, dimension), of length 1
-    owner: np.ndarray  # item of each item passage
+    owner: np.ndarray  # place in the group of each item passage
 
 
 @dataclass
 class Space:
-    """A group of items: the spaces of their passages, and their words."""
+    """A group of items' passages: their spaces, items' ids, words, and words of the items' answers."""
 
     blocks: list[Block]
     ids: list
@@ -153,23 +153,25 @@ def space(docs: DataFrame, items: list, rank: int = RANK) -> Space:
     each = [words[s:e] for s, e in zip(offsets, offsets[1:])]
     held, steps = frequencies(docs, vocabulary)
     idf = np.log((steps + 1) / (held + 0.5)).clip(min=0)
-    vectors, owner = [], []
+    vectors, item, parts = [], [], []
     for i, own in enumerate(each):
-        # Long items are cut like documents, into parts of the longest window.
+        # Long items are cut like documents, into parts of the longest window; what is left over and
+        # short goes with the last.
         size = max(WINDOWS) * STEP
-        for start in range(0, max(len(own) - size // 4, 1), size):
-            place, count = np.unique(np.searchsorted(vocabulary, own[start:start + size]), return_counts=True)
+        starts = range(0, max(len(own) - size // 4, 1), size)
+        for start, end in zip(starts, [*starts[1:], len(own)]):
+            place, count = np.unique(np.searchsorted(vocabulary, own[start:end]), return_counts=True)
             weight = count * idf[place]
             if weight.any():
                 vectors.append((place, weight / np.linalg.norm(weight)))
-                owner.append(i)
+                item.append(i)
+                parts.append(own[start:end])
     blocks = []
     # As even as they can be: what a block costs beside its passages is the same for all.
     bounds = np.linspace(0, len(vectors), -(-len(vectors) // rank) + 1).astype(int) if vectors else []
     for low, high in zip(bounds, bounds[1:]):
-        part, owners = vectors[low:high], np.array(owner[low:high])
-        # All words of the block's items, so that what is held of an item can be counted.
-        own = np.searchsorted(vocabulary, np.unique(np.concatenate([each[i] for i in np.unique(owners)])))
+        part = vectors[low:high]
+        own = np.searchsorted(vocabulary, np.unique(np.concatenate(parts[low:high])))
         part = [(np.searchsorted(own, p), w) for p, w in part]
         # As many rows as the block has passages.
         rows = cut(spark.createDataFrame([(p.tolist(), w.tolist()) for p, w in part],
@@ -178,8 +180,8 @@ def space(docs: DataFrame, items: list, rank: int = RANK) -> Space:
         latent = np.array([w @ basis[p] for p, w in part])
         norms = np.linalg.norm(latent, axis=1, keepdims=True)
         blocks.append(Block(vocabulary[own], (idf[own][:, None] * basis).astype(np.float32),
-                            (latent / np.maximum(norms, 1e-12)).astype(np.float32), owners))
-    return Space(blocks, [k for k, _ in items], each, [ends[s:e] for s, e in zip(at, at[1:])])
+                            (latent / np.maximum(norms, 1e-12)).astype(np.float32), np.arange(low, high)))
+    return Space(blocks, [items[i][0] for i in item], parts, [ends[at[i]:at[i + 1]] for i in item])
 
 
 def common(one: np.ndarray, two: np.ndarray) -> int:
@@ -315,7 +317,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, group:
 
     `docs` needs doc_id and text, `benchmark` item_id and text; other columns are not looked at.
     One row per document and item that count. Items without a word, null texts and empty tables
-    give no rows; rows of one doc_id are searched one by one and give their best.
+    give no rows; rows of one doc_id are searched one by one and give their best. Items without id
+    are searched as well and reported with a null item_id, one row per document for all of them.
+    An item longer than the passages counts by any of its parts of that length (64 words): cover is
+    then the share of that part.
 
     Items come to the driver in groups of `group` in the order of item_id, so what is broadcast is
     bounded whatever the size of the benchmark; each group is a pass over the documents.
@@ -325,9 +330,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, group:
     schema = "doc_id bigint, item_id bigint, cosine double, cover double, answer_cover double"
     out, after = docs.sparkSession.createDataFrame([], schema), None
     while True:
-        rest = order if after is None else order.where((F.col("item_id") > after[0]) | (
-            (F.col("item_id") == after[0]) & (F.col("text") > after[1])))
-        items = [tuple(r) for r in rest.where("item_id is not null").orderBy("item_id", "text").limit(group).collect()]
+        # Those without id come first.
+        rest = order if after is None else order.where(
+            (F.col("item_id") > after[0] if after[0] is not None else F.col("item_id").isNotNull())
+            | (F.col("item_id").eqNullSafe(F.lit(after[0])) & (F.col("text") > after[1])))
+        items = [tuple(r) for r in rest.orderBy(F.col("item_id").asc_nulls_first(), "text").limit(group).collect()]
         if not items:
             return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("cover", "answer_cover", "cosine")).alias("_m")).select(
                 "doc_id", "item_id", "_m.cosine", "_m.cover", "_m.answer_cover")

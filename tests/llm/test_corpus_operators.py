@@ -279,6 +279,22 @@ def test_replaced_words_of_more_items_than_a_space_holds(spark):
     assert got == planted
 
 
+def test_items_without_id_and_parts_of_long_items(spark):
+    import random
+    rng = random.Random(12)
+    texts = [sentence(rng, n) for n in (40, 30, 200, 70)]
+    items = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (6, texts[3])]
+    held = [texts[0], texts[1], " ".join(texts[2].split()[64:128]), " ".join(texts[2].split()[140:165]), texts[3],
+            " ".join(texts[2].split()[128:])]
+    rows = [(i, f"{sentence(rng, 50)} {t} {sentence(rng, 40)}") for i, t in enumerate(held)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for group in (5_000, 1):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, benchmark, group=group).collect()}
+        assert got == {(0, None), (1, None), (2, 5), (4, 6), (5, 5)}
+    assert [r.doc_id for r in decontaminate.clean(docs, benchmark).collect()] == [3]
+
+
 def test_bound_of_held_words_loses_nothing(spark, docs):
     import random
     rng = random.Random(9)
