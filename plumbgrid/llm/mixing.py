@@ -39,12 +39,14 @@ def weighed(sources: DataFrame, exponent: Column) -> DataFrame:
     return powered.withColumn("weight", F.col("_p") / F.sum("_p").over(Window.partitionBy("exponent"))).drop("_p")
 
 
-def bisected(sources: DataFrame, entropy: float | None, repeats: float | None, budget: float) -> float:
+def bisected(sources: DataFrame, entropy: float | None, repeats: float | None, budget: float,
+             cover: bool = False) -> float:
     """The exponent between 0 and 1 that meets the target.
 
     `entropy`: the largest exponent whose weights have at least that share of the greatest
     possible entropy. `repeats`: the least exponent by which no source is repeated more often
-    within the budget. With both, the one that repeats less. If no exponent in between meets
+    within the budget, or with `cover` within the least budget that takes every source whole at
+    that exponent. With both, the one that repeats less. If no exponent in between meets
     it, the nearest end. Each step is one aggregate over sources times PARTS.
     """
     def search(good: Column, rising: bool) -> float:
@@ -65,7 +67,8 @@ def bisected(sources: DataFrame, entropy: float | None, repeats: float | None, b
         reached = -F.sum(F.when(F.col("weight") > 0, F.col("weight") * F.log("weight")).otherwise(0.0)) / size
         found.append(search(reached >= F.lit(entropy * (1 - 1e-12)), rising=False))
     if repeats is not None:
-        most = F.max(F.col("weight") * F.lit(float(budget)) / F.col("tokens"))
+        taken = F.max(F.col("tokens") / F.col("weight")) if cover else F.lit(float(budget))
+        most = F.max(F.col("weight") / F.col("tokens")) * taken
         found.append(search(most <= F.lit(float(repeats)), rising=True))
     return max(found, default=1.0)
 
@@ -79,7 +82,7 @@ def plan(docs: DataFrame, entropy: float | None, repeats: float | None, budget:
     sources = cut(token_counts(docs).where("tokens > 0"))
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     limit = float(total if budget is None else budget)
-    exponent = bisected(sources, entropy, repeats, limit)
+    exponent = bisected(sources, entropy, repeats, limit, cover)
     planned = weighed(sources, F.lit(exponent))
     if cover:
         # The least budget that takes every document of every source once.
@@ -98,7 +101,7 @@ def mixed(docs: DataFrame, entropy: float | None = None, repeats: float | None =
     A row appears once per epoch that takes it: epochs are whole but the last of each source,
     which takes blocks in its order and, of the block in which the source's tokens run out,
     documents in an order by hash as long as they fit. `budget` counts tokens (words), by default
-    those of `docs`; with `cover` it is the least by which every row with a word is taken.
+    those of `docs`; with `cover` it is the least by which every row with a word is taken, and `repeats` holds for that.
 
     Rows without a word or a text are taken by no source. A null source is a source of its own.
     Equal rows stand or fall together where a block is cut. An empty table gives no rows.

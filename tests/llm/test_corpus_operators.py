@@ -103,6 +103,20 @@ def test_mixing(spark, targets):
     assert sorted((r.doc_id, r._epoch, r._order) for r in got) == sorted(map(tuple, again))
 
 
+@pytest.mark.parametrize("sizes", [[6000] + [600] * 18 + [12], [3000, *[600] * 9, 45, 90, 180, 270]])
+def test_cover_keeps_the_limit_to_repeats(spark, sizes):
+    """A hot source and tiny ones: the budget that takes all of the hot one does not repeat them more."""
+    rows = [(s * 10_000 + i, "a b c", "en", f"s{s}", 5) for s, n in enumerate(sizes) for i in range(n // 3)]
+    targets = dict(entropy=queries.MIX_ENTROPY, repeats=queries.MIX_REPEATS, cover=True)
+    table = spark.createDataFrame([(f"s{s}", n) for s, n in enumerate(sizes)], "source string, tokens long")
+    plans = mixing.plan(table, targets["entropy"], targets["repeats"], None, True).collect()
+    times = [r.weight / r.tokens for r in plans]
+    assert max(times) / min(times) == pytest.approx(queries.MIX_REPEATS) and 0 < plans[0].exponent < 1
+    assert all(r.tokens <= r.wanted <= queries.MIX_REPEATS * r.tokens for r in plans)
+    counts = [r["count"] for r in mixing.mixed(spark.createDataFrame(rows, SCHEMA), **targets).groupBy("doc_id").count().collect()]
+    assert len(counts) == len(rows) and max(counts) == queries.MIX_REPEATS
+
+
 def test_mixing_of_nothing(empty):
     assert mixing.mixed(empty, entropy=0.9, repeats=2.0).count() == 0
 
