@@ -2,9 +2,11 @@
 
 The field scores whole candidate segments (some words in a row) by features of the segment, and
 a dynamic programme over segments of at most MAX_WORDS words picks boundaries and types at once.
-It learns from what the patterns find in a bounded sample. A word without a digit or an at sign
-can neither begin nor end a segment, so the programme runs over the regions between such words:
-that is exact, not a short cut.
+It learns from what the patterns find in a bounded sample. A plain word (without a digit or an at
+sign, and not a filler) may not stand in a segment at all, neither at its ends nor inside, and a segment
+of more than MAX_WORDS words or 320 characters is not scored. So the field adds no span such as
+'+1 555 ext 204'. Under these limits the programme loses nothing by running over the regions between
+plain words. What the patterns find is not limited by them.
 """
 
 from __future__ import annotations
