@@ -30,6 +30,8 @@ from plumbgrid.operators.components import components
 from plumbgrid.session import cut
 
 VALUES, TREES, DEPTH = 128, 32, 4
+#: Likeness in percent from which so many trees miss a pair with a chance below 1e-5; at 60 it is 1 in 100.
+LEAST_PERCENT = 75
 #: Candidates that a document tests before the exact search.
 BEST = 4
 #: Words of 64 bits in which a set is marked; each bit that differs is an element that differs.
@@ -259,8 +261,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     A null or empty text has 0 shingles and no link. A row without doc_id has no link either,
     its component_id is null and it is kept. Rows of one doc_id count as linked. Other columns
-    are not looked at.
+    are not looked at. A `percent` below LEAST_PERCENT is refused, as the forest would miss links.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent must be {LEAST_PERCENT} at least, not {percent}: the forest would miss links")
     sketched = cut(sketch(docs, k))
     sized = sketched.where("n > 0 and doc_id is not null")
     classes = cut(sized.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "sig")).alias("_m"))

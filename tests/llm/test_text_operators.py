@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import pytest
+
 from plumbgrid.llm import fingerprints, near, pii, secrets, substrings
 from pyspark.sql import functions as F
 
@@ -197,3 +199,10 @@ def test_near_duplicates(docs, rows, empty):
                      for r in near.near_duplicates(docs, k, percent).collect())
         assert got == want
     assert near.near_duplicates(empty).count() == 0
+
+
+def test_near_duplicates_refuse_what_the_forest_would_miss():
+    for percent in (50, 74):
+        with pytest.raises(ValueError):
+            near.near_duplicates(None, 3, percent)
+    assert (1 - (near.LEAST_PERCENT / 100) ** near.DEPTH) ** near.TREES < 1e-5
