@@ -17,8 +17,6 @@ i // 64 and packing and unpacking are 64 column operations whatever the width.
 
 from __future__ import annotations
 
-import json
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -28,17 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbgrid.llm.text import slices
+from plumbgrid.llm.tokens import Encoder, worker_encoder  # noqa: F401
 from plumbgrid.session import scratch_path
 
 #: Ids after which a block ends with the document that is being written.
 BLOCK_IDS = 1 << 18
-#: Pieces of text whose ids a task remembers before it starts afresh.
-CACHE_PIECES = 600_000
-
-#: The rule by which a tokenizer with word ends cuts a text, and the ASCII
-#: punctuation that this rule parts from letters before it (without the apostrophe).
-PIECE_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 1 << 22
 
 BLOCKS = ("shard int, block int, start bigint, n_ids bigint, width int, doc_ids array<bigint>, "
           "lengths array<bigint>, payload binary")
@@ -79,79 +74,6 @@ def unpack(payload: bytes, width: int, start: int, end: int) -> np.ndarray:
     return out.T.reshape(-1)[start - first * 64:end - first * 64].astype(np.uint32)
 
 
-class Encoder:
-    """Whole texts to ids, as the tokenizer encodes them.
-
-    Where the tokenizer's own rules cut at white space and between letters and punctuation
-    before anything else (PIECE_RULE), the ids of a text are those of its words and of the
-    punctuation after them, and those seen before are not encoded again. Other tokenizers
-    encode each text as it is.
-    """
-
-    def __init__(self, file: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(file)
-        with open(file, encoding="utf-8") as f:
-            made = json.load(f)
-        steps = [x.get("type") for x in ((made.get("normalizer") or {}).get("normalizers") or [])]
-        cuts = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        self.by_pieces = steps == ["NFC", "Replace", "Lowercase"] and cuts.get("invert") is True and (
-            cuts.get("behavior"), (cuts.get("pattern") or {}).get("Regex")) == ("Removed", PIECE_RULE)
-        self.ends = np.zeros(self.vocabulary, dtype=bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.known_words: dict[bytes, bytes] = {}
-
-    @property
-    def vocabulary(self) -> int:
-        return self.tokenizer.get_vocab_size(with_added_tokens=True)
-
-    def each(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def learn_words(self, words: list[bytes]) -> None:
-        """Runs of letters in few calls; the last id of each carries the mark of a word's end."""
-        for at in range(0, len(words), 4096):
-            part = words[at:at + 4096]
-            ids = np.frombuffer(self.each([b" ".join(part).decode()])[0], dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                data, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
-                self.known_words.update((w, data[s:e]) for w, s, e in zip(part, bounds, bounds[1:]))
-            else:
-                self.known_words.update(zip(part, self.each([w.decode() for w in part])))
-
-    def learn(self, pieces: list[bytes]) -> None:
-        split, rest = [], []
-        for piece in pieces:
-            word = piece.rstrip(PUNCTUATION)
-            if word.isalpha() or (not word.isascii() and word.decode().isalpha()):
-                split.append((piece, word.lower(), piece[len(word):]))
-            else:
-                rest.append(piece)
-        self.learn_words(list({w for _, w, _ in split if w not in self.known_words}))
-        tails = list({t for _, _, t in split if t not in self.known_words})
-        self.known_words.update(zip(tails, self.each([t.decode() for t in tails])))
-        self.known.update((p, self.known_words[w] + self.known_words[t]) for p, w, t in split)
-        self.known.update(zip(rest, self.each([p.decode() for p in rest])))
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.by_pieces:
-            return self.each([text or "" for text in texts])
-        pieces = [(text or "").encode().split() for text in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        if len(self.known_words) > CACHE_PIECES:
-            self.known_words = {}
-        known = self.known
-        self.learn(list({piece for row in pieces for piece in row if piece not in known}))
-        return [b"".join([known[p] for p in row]) for row in pieces]
-
-
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS) -> None:
     """Encode `docs` (doc_id, text) and write their ids, each document followed by `end_id`.
 
@@ -162,16 +84,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: in
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        width, end = width_of(max(encoder.vocabulary, end_id + 1)), np.array([end_id], dtype="<u4").tobytes()
+        encoder = worker_encoder(tokenizer)
+        width, end = width_of(max(encoder.vocabulary, end_id + 1)), np.array([end_id], dtype=np.uint32)
         shard, block, start = TaskContext.get().partitionId(), 0, 0
         doc_ids: list = []
         lengths: list[int] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
 
         def row() -> pa.RecordBatch:
             nonlocal block, start, doc_ids, lengths, held
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
+            ids = np.concatenate(held)
             out = pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()),
                  pa.array([len(ids)], pa.int64()), pa.array([width], pa.int32()),
@@ -184,12 +106,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: in
 
         waiting = 0
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.slice(at, 64)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(part.column(1).to_pylist())):
-                    held.append(ids + end)
+            for first, last in slices(batch.column(1), ENCODE_BYTES):
+                part = batch.slice(first, last - first)
+                ids, offsets = encoder.encode(part.column(1))
+                for doc_id, s, e in zip(part.column(0).to_pylist(), offsets.tolist(), offsets[1:].tolist()):
+                    held += (ids[s:e], end)
                     doc_ids.append(doc_id)
-                    lengths.append(len(ids) // 4 + 1)
+                    lengths.append(e - s + 1)
                     waiting += lengths[-1]
                     if waiting >= block_ids:
                         yield row()
