@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbgrid.llm import decontaminate, fingerprints, language, mixing, near, packing, pii, secrets, substrings, urls
+from plumbgrid.llm import bins, decontaminate, fingerprints, language, mixing, near, packing, pii, secrets, substrings, urls
 from plumbgrid.session import cut
 from plumbgrid.llm.text import read
 
@@ -121,3 +121,9 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and the evidence."""
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of every document lies in sequences of 2048 tokens."""
+    return bins.placed(bins.sequences(read(spark, sf_dir, "documents"), tokenizer_file(), end_id=0, with_ids=False))
