@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbgrid.llm import bins, decontaminate, fingerprints, language, mixing, near, packing, pii, secrets, substrings, urls
+from plumbgrid.llm import bins, decontaminate, fingerprints, language, manifest, mixing, near, packing, pii, secrets, substrings, urls
 from plumbgrid.session import cut
 from plumbgrid.llm.text import read
 
@@ -127,3 +127,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of every document lies in sequences of 2048 tokens."""
     return bins.placed(bins.sequences(read(spark, sf_dir, "documents"), tokenizer_file(), end_id=0, with_ids=False))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether it still leads to the root when tampered with."""
+    return manifest.manifest(read(spark, sf_dir, "documents"))
+
+
+SQL["op12_merkle_manifest"] = manifest.sql()
