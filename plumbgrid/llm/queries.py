@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbgrid.llm import bins, decontaminate, fingerprints, language, manifest, mixing, near, packing, pii, secrets, substrings, urls
+from plumbgrid.llm import bins, decontaminate, fingerprints, language, manifest, mixing, near, packing, phrases, pii, secrets, substrings, urls
 from plumbgrid.session import cut
 from plumbgrid.llm.text import read
 
@@ -136,3 +136,35 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_merkle_manifest"] = manifest.sql()
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of each language."""
+    return phrases.collocations(read(spark, sf_dir, "documents")).drop("path")
+
+
+SQL["op11_phrases"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+f1 AS (SELECT lang, a, count(*) AS n FROM g GROUP BY ALL),
+f2 AS (SELECT lang, a, b, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, a, b, c, count(*) AS n FROM g WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+tot AS (SELECT lang, sum(n)::BIGINT AS n FROM f1 GROUP BY lang),
+t AS (SELECT f3.lang, f3.a || ' ' || f3.b || ' ' || f3.c AS phrase, f3.n AS f, x.n AS l1, yz.n AS r1, xy.n AS l2, z.n AS r2
+      FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.a = f3.a JOIN f1 z ON z.lang = f3.lang AND z.a = f3.c
+      JOIN f2 xy ON xy.lang = f3.lang AND xy.a = f3.a AND xy.b = f3.b JOIN f2 yz ON yz.lang = f3.lang AND yz.a = f3.b AND yz.b = f3.c),
+s AS (SELECT *, 1000000::HUGEINT * f * f // (l1::HUGEINT * r1) AS s1, 1000000::HUGEINT * f * f // (l2::HUGEINT * r2) AS s2 FROM t),
+longer AS (SELECT lang, a, b, max(n) AS n FROM (SELECT lang, a, b, n FROM f3 UNION ALL SELECT lang, b, c, n FROM f3) GROUP BY ALL),
+two AS (SELECT f2.lang, f2.a || ' ' || f2.b AS phrase, f2.n AS a, x.n AS l, y.n AS r FROM f2
+        JOIN f1 x ON x.lang = f2.lang AND x.a = f2.a JOIN f1 y ON y.lang = f2.lang AND y.a = f2.b
+        LEFT JOIN longer o ON o.lang = f2.lang AND o.a = f2.a AND o.b = f2.b
+        WHERE f2.n >= 10 AND NOT coalesce(100 * o.n >= 50 * f2.n, false)),
+every AS (SELECT lang, phrase, f AS a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END AS l, CASE WHEN s2 < s1 THEN r2 ELSE r1 END AS r,
+            least(s1, s2)::BIGINT AS score FROM s
+          UNION ALL SELECT lang, phrase, a, l, r, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT FROM two),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM every)
+SELECT lang, rank, phrase, a, l, r, tot.n, score FROM ranked JOIN tot USING (lang) WHERE rank <= 2000
+"""
