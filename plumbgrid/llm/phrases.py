@@ -5,7 +5,7 @@ of neighbouring words, an edge a run of three (the longest grams), weighted by h
 occurs. Only edges are counted over the corpus, as the grams that start at each word:
 
 - a word whose next two words belong to its piece gives an edge;
-- where the piece ends before, or the next word is rare, it gives the shorter gram that is
+- where the piece ends before, or the next node is rare, it gives the shorter gram that is
   left: what the flow out of a node lacks of the node's own count.
 
 So a pair occurs as often as the edges that leave it and its own remainder say, and a word as
@@ -13,22 +13,24 @@ often as the grams that start with it. Frequent edges are then compacted: an edg
 and one out of it become one path where all of the node's flow takes both. Phrases are read
 off the paths, so that what always goes on in the same way is one row.
 
-A word below `least` occurrences is in no phrase, nor is any count of one needed. Which words
-may reach it is held in a filter of `FILTER_BITS` bits; a rare word that the filter lets
-through costs a row and changes nothing, so its size is a bound and not a limit.
+A word or pair below `least` occurrences is in no phrase, nor is any count of one needed. Which
+may reach it is held in a filter of `FILTER_BITS` bits, from counts of their hashes; a rare one
+that the filter lets through costs rows and changes nothing, so its size is a bound and not a
+limit.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbgrid.llm.text import LOWER, Powers, flat_bytes, slices, small_or_shuffled, spans
+from plumbgrid.llm.text import LOWER, Powers, flat_bytes, mix, signed, slices, small_or_shuffled, spans
 from plumbgrid.session import cut
 
 #: Occurrences that a phrase has at least, and those returned of each language.
@@ -37,12 +39,12 @@ LEAST, TOP = 10, 2000
 HELD = 50
 #: Language of texts without one.
 UNKNOWN = "und"
-#: Bits of the filter of words, a power of two: 16 MB for every task, however many words there are.
+#: Bits of the filter, a power of two: 16 MB for every task, however many words there are.
 FILTER_BITS = 1 << 27
 #: Bits that a row of the filter's table holds.
 CHUNK_BITS = 1 << 15
-#: Text that a task counts at once.
-COUNT_BYTES = 1 << 23
+#: Bytes of text that a task counts at once.
+COUNT_BYTES = 1 << 21
 #: Groups in which the best of a language are chosen before they meet.
 SALTS = 64
 KIND = np.zeros(256, dtype=np.uint8)  # 0: word, 1: between words, 2: between pieces
@@ -95,8 +97,12 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, word, place in the filter, n) of each slice."""
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(0x9E3779B97F4A7C15) + mix(second))
+
+
+def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, n): hashes of the words and pairs of each slice by language, and how often they occur."""
     table = Powers()
     for batch in batches:
         for a, b in slices(batch.column(1), COUNT_BYTES):
@@ -105,21 +111,29 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(found.ids):
                 continue
             lang, names = _coded_langs(part.column(0))
-            keys, n = _counted(lang[found.doc] * len(found.words) + found.ids)
-            bits = (found.hashes(table) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-            which = keys % len(found.words)
-            yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(keys // len(found.words))), found.words.take(pa.array(which)).cast(pa.large_string()).cast(pa.string()),
-                 pa.array(bits[which]), pa.array(n)], ["lang", "word", "bit", "n"])
-
-
-def word_filter(texts: DataFrame, least: int) -> np.ndarray:
-    """Bits of the words that some language has `least` times or more."""
-    counted = texts.mapInArrow(_word_rows, "lang string, word string, bit bigint, n bigint")
-    often = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.min("bit").alias("bit")).where(F.col("n") >= least)
+            size, lang = len(found.words), lang[found.doc]
+            hashes, seeds = found.hashes(table), lang_seeds(names)
+            words, n_words = _counted(lang * size + found.ids)
+            at = np.flatnonzero(found.joined)
+            pairs, n_pairs = _counted((lang[at] * size + found.ids[at]) * size + found.ids[at + 1])
+            two, second = np.divmod(pairs, size)
+            h = np.concatenate([hashes[words % size] ^ seeds[words // size],
+                                pair_hashes(hashes[two % size], hashes[second]) ^ seeds[two // size]])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.concatenate([n_words, n_pairs]))], ["h", "n"])
+
+
+def lang_seeds(names: pa.Array) -> np.ndarray:
+    """What tells the hashes of one language from those of another."""
+    return np.array([zlib.crc32((x or "").encode()) for x in names.to_pylist()], dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def node_filter(texts: DataFrame, least: int) -> np.ndarray:
+    """Bits of the hashes that occur `least` times or more, so of every such word and pair."""
+    counted = texts.mapInArrow(_hash_rows, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    bit = F.col("h").bitwiseAND(FILTER_BITS - 1)
     # At most FILTER_BITS / CHUNK_BITS rows of CHUNK_BITS bits come to the driver.
-    rows = often.groupBy(F.floor(F.col("bit") / CHUNK_BITS).alias("chunk")).agg(
-        F.bitmap_construct_agg(F.col("bit") % CHUNK_BITS).alias("bits")).toLocalIterator()
+    rows = counted.where(F.col("n") >= least).groupBy(F.floor(bit / CHUNK_BITS).alias("chunk")).agg(
+        F.bitmap_construct_agg(bit % CHUNK_BITS).alias("bits")).toLocalIterator()
     out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     for row in rows:
         at = row.chunk * CHUNK_BITS // 8
@@ -127,6 +141,11 @@ def word_filter(texts: DataFrame, least: int) -> np.ndarray:
     return out
 
 
+def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(FILTER_BITS - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def _join_words(words: pa.Array, *ids: np.ndarray) -> pa.Array:
     return pc.binary_join_element_wise(*[words.take(pa.array(i)) for i in ids], pa.scalar(b" ", pa.large_binary()))
 
@@ -134,7 +153,7 @@ def _join_words(words: pa.Array, *ids: np.ndarray) -> pa.Array:
 def grams(texts: DataFrame, known: np.ndarray) -> DataFrame:
     """(lang, gram, c): the grams that start at the words of all texts, of three words at most.
 
-    A gram ends before its third word where the piece ends or a rare word follows; one that
+    A gram ends before the next word where the piece ends or the pair with it is rare; one that
     starts with a rare word is empty.
     """
     shared = texts.sparkSession.sparkContext.broadcast(known)
@@ -149,13 +168,15 @@ def grams(texts: DataFrame, known: np.ndarray) -> DataFrame:
                     continue
                 lang, names = _coded_langs(part.column(0))
                 lang = lang[found.doc]
-                at = found.hashes(table) & np.uint64(FILTER_BITS - 1)
-                often = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+                hashes, seed = found.hashes(table)[found.ids], lang_seeds(names)[lang]
+                often = _held(bits, hashes ^ seed)
+                pair = np.zeros(len(hashes), dtype=bool)
+                pair[:-1] = found.joined[:-1] & _held(bits, pair_hashes(hashes[:-1], hashes[1:]) ^ seed[:-1])
                 # Numbers from 1; 0 stands for what ends a gram.
-                one = np.where(often[found.ids] == 1, found.ids + 1, 0)
+                one = np.where(often, found.ids + 1, 0)
                 two, three = np.zeros_like(one), np.zeros_like(one)
-                two[:-1] = np.where(found.joined[:-1] & (one[:-1] > 0), one[1:], 0)
-                three[:-1] = np.where(two[:-1] > 0, two[1:], 0)
+                two[:-1] = np.where(pair[:-1] & (one[:-1] > 0), found.ids[1:] + 1, 0)
+                three[:-2] = np.where((two[:-2] > 0) & pair[1:-1], found.ids[2:] + 1, 0)
                 size, many = len(found.words) + 1, len(names)
                 if size ** 3 * many < 1 << 63:
                     keys, n = _counted(((one * size + two) * size + three) * many + lang)
@@ -191,7 +212,7 @@ def graph(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, Da
     """Written tables: edges (lang, a, b, c, n), nodes (lang, a, b, n), words (lang, word, n) and totals
     (lang, n); of the first three, those that occur `least` times or more."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string"))
-    counted = cut(grams(texts, word_filter(texts, least)))
+    counted = cut(grams(texts, node_filter(texts, least)))
     edges = cut(counted.where((F.col("size") == 3) & (F.col("c") >= least)).select(
         "lang", F.split("gram", " ").alias("w"), F.col("c").alias("n")).select(
         "lang", *[F.col("w")[i].alias(x) for i, x in enumerate("abc")], "n"))
