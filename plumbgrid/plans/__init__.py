@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     geometry,
     groups,
     live,
+    meeting,
     moving,
     nearby,
     neighbours,

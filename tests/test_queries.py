@@ -24,4 +24,6 @@ def test_entry(spark):
     import __spark_entry__ as contract
 
     assert contract.entry(spark).count() == 25
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+    # Those without SQL belong to the text operators, whose own tests list them with the reason.
+    assert set(QUERIES) <= set(contract.oracle_sql())
