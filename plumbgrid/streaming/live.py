@@ -100,11 +100,26 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         state.setTimeoutTimestamp(max(int(rest["us"].min()) // 1000 + 1, watermark + 1))
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what its source holds now; the rows it has emitted, as a table."""
+STORE = "spark.sql.streaming.stateStore.providerClass"
+# Fixed value: the state store that keeps timers.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_available(stream: DataFrame, name: str, timers: bool = False) -> DataFrame:
+    """Run a stream over what its source holds now; the rows it has emitted, as a table.
+
+    ``timers`` names the state store that operators with timers need, for this stream only.
+    """
     spark = stream.sparkSession
     path = scratch_path(spark, name)
-    (stream.writeStream.format("parquet").option("path", path)
-     .option("checkpointLocation", path + "-progress").outputMode("append")
-     .trigger(availableNow=True).start().awaitTermination())
+    before = spark.conf.get(STORE, None)
+    if timers:
+        spark.conf.set(STORE, ROCKS)
+    try:
+        (stream.writeStream.format("parquet").option("path", path)
+         .option("checkpointLocation", path + "-progress").outputMode("append")
+         .trigger(availableNow=True).start().awaitTermination())
+    finally:
+        if timers:
+            spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
     return spark.read.schema(stream.schema).parquet(path)
