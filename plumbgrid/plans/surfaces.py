@@ -45,6 +45,18 @@ def raster_focal(spark, folder):
     return rounded(rounded(rasters.focal(order_raster(spark, folder)), 6, "mean"), 3, "low", "high")
 
 
+@query("raster_focal_wide", f"""WITH {R_SQL}
+SELECT a.band, a.row, a.col, count(*) AS n, round(sum(b.value), 2) AS total,
+  round(min(b.value), 3) AS low, round(max(b.value), 3) AS high
+FROM cells a JOIN cells b ON a.band = b.band AND b.row BETWEEN a.row - 6 AND a.row + 6
+  AND b.col BETWEEN a.col - 6 AND a.col + 6 GROUP BY a.band, a.row, a.col""")
+def raster_focal_wide(spark, folder):
+    """Over windows of 13 by 13 cells, from summed-area tables."""
+    out = rasters.focal(order_raster(spark, folder), 6)
+    return out.select("band", "row", "col", "n", F.round(F.col("mean") * F.col("n"), 2).alias("total"),
+                      F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
+
+
 @query("raster_coarsen", f"""WITH {R_SQL}
 SELECT band, CAST(floor(row / 3e0) AS BIGINT) AS row, CAST(floor(col / 3e0) AS BIGINT) AS col,
   round(avg(value), 6) AS value, count(*) AS n FROM cells GROUP BY 1, 2, 3""")
