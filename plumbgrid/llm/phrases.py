@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,8 @@ CHUNK_BITS = 1 << 15
 COUNT_BYTES = 1 << 21
 #: Groups in which the best of a language are chosen before they meet.
 SALTS = 64
+#: Text whose grams make a bucket, about: what a task adds up at once.
+BUCKET_BYTES = 1 << 24
 KIND = np.zeros(256, dtype=np.uint8)  # 0: word, 1: between words, 2: between pieces
 KIND[[9, 32]] = 1
 KIND[[10, 11, 12, 13, *b".,;:!?"]] = 2
@@ -151,12 +154,17 @@ def _join_words(words: pa.Array, *ids: np.ndarray) -> pa.Array:
 
 
 def grams(texts: DataFrame, known: np.ndarray) -> DataFrame:
-    """(lang, gram, c): the grams that start at the words of all texts, of three words at most.
+    """(lang, gram, size, c): the grams that start at the words of all texts, of three words at most.
 
     A gram ends before the next word where the piece ends or the pair with it is rare; one that
-    starts with a rare word is empty.
+    starts with a rare word is empty. Grams travel in buckets by their hash, sorted and
+    compressed, and a task adds up one bucket at a time.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(known)
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(known)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size_of = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(parts, -(-size_of // BUCKET_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits = Powers(), shared.value
@@ -168,7 +176,12 @@ def grams(texts: DataFrame, known: np.ndarray) -> DataFrame:
                     continue
                 lang, names = _coded_langs(part.column(0))
                 lang = lang[found.doc]
-                hashes, seed = found.hashes(table)[found.ids], lang_seeds(names)[lang]
+                of_words = found.hashes(table)
+                hashes, seed = of_words[found.ids], lang_seeds(names)[lang]
+
+                def known_hash(number: np.ndarray, of_words: np.ndarray = of_words) -> np.ndarray:
+                    return np.where(number > 0, of_words[number - 1], np.uint64(0))
+
                 often = _held(bits, hashes ^ seed)
                 pair = np.zeros(len(hashes), dtype=bool)
                 pair[:-1] = found.joined[:-1] & _held(bits, pair_hashes(hashes[:-1], hashes[1:]) ^ seed[:-1])
@@ -189,19 +202,74 @@ def grams(texts: DataFrame, known: np.ndarray) -> DataFrame:
                     new = np.flatnonzero(np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)))
                     n = np.diff(np.append(new, len(order)))
                     one, two, three, lang = rows[:, new]
-                held = (one > 0).astype(int) + (two > 0) + (three > 0)
+                seed = lang_seeds(names)[lang]
+                h = pair_hashes(pair_hashes(known_hash(one), known_hash(two)), known_hash(three)) ^ seed
+                bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
+                held = (one > 0).astype(np.int64) + (two > 0) + (three > 0)
+                heads = pa.array([f"{x}\t".encode() for x in names.to_pylist()], pa.large_binary())
                 for k in range(4):
-                    of = held == k
-                    if not of.any():
+                    of = np.flatnonzero(held == k)
+                    of = of[np.lexsort((three[of], two[of], one[of], bucket[of]))]
+                    if not len(of):
                         continue
-                    parts = [x[of] - 1 for x in (one, two, three)[:k]]
-                    text = _join_words(found.words, *parts) if k else pa.array([b""] * int(of.sum()), pa.large_binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [names.take(pa.array(lang[of])), text.cast(pa.large_string()).cast(pa.string()),
-                         pa.array(np.full(of.sum(), k, dtype=np.int32)), pa.array(n[of])], ["lang", "gram", "size", "c"])
-
-    rows = texts.mapInArrow(run, "lang string, gram string, size int, c bigint")
-    return rows.groupBy("lang", "gram", "size").agg(F.sum("c").alias("c"))
+                    words = [x[of] - 1 for x in (one, two, three)[:k]]
+                    head = heads.take(pa.array(lang[of]))
+                    text = pc.binary_join_element_wise(head, _join_words(found.words, *words), pa.scalar(b"", pa.large_binary())) if k else head
+                    yield _packed(text, n[of], bucket[of])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket; those of one are added up at its end."""
+        held: list[pa.Table] = []
+        at = None
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != at and held:
+                    yield from _added(held)
+                    held = []
+                at = bucket
+                held.append(_unpacked(blob))
+        if held:
+            yield from _added(held)
+
+    packed = texts.mapInArrow(run, "bucket bigint, grams binary")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        add, "lang string, gram string, size int, c bigint")
+
+
+def _packed(texts: pa.LargeBinaryArray, n: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket: its grams, sorted, compressed with their counts."""
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[: len(texts) + 1]
+    data = memoryview(texts.buffers()[2] or b"")
+    sizes, n = np.diff(offsets).astype("<u4"), n.astype("<i8")
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    press = zstandard.ZstdCompressor(level=3)
+    blobs = []
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
+        blobs.append(press.compress(b"".join([np.uint32(e - s).tobytes(), sizes[s:e].tobytes(), n[s:e].tobytes(), data[offsets[s]:offsets[e]]])))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(blobs, pa.binary())], ["bucket", "grams"])
+
+
+def _unpacked(blob: bytes) -> pa.Table:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    rows = int(np.frombuffer(raw, "<u4", 1)[0])
+    sizes = np.frombuffer(raw, "<u4", rows, 4)
+    n = np.frombuffer(raw, "<i8", rows, 4 + 4 * rows)
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    text = pa.Array.from_buffers(pa.large_string(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(raw[4 + 12 * rows:])])
+    return pa.table({"gram": text, "c": n})
+
+
+def _added(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    whole = pa.concat_tables(tables).group_by("gram").aggregate([("c", "sum")])
+    for batch in whole.to_batches(max_chunksize=100_000):
+        gram, c = batch.column("gram"), batch.column("c_sum")
+        # The words hold no tab, so the last one ends the language.
+        parts = pc.split_pattern(gram, "\t", max_splits=1, reverse=True)
+        lang, words = pc.list_element(parts, 0), pc.list_element(parts, 1)
+        size = np.where(pc.equal(words, "").to_numpy(zero_copy_only=False), 0,
+                        pc.count_substring(words, " ").to_numpy(zero_copy_only=False) + 1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([lang.cast(pa.string()), words.cast(pa.string()), pa.array(size), c],
+                                         ["lang", "gram", "size", "c"])
 
 
 def prefix(words: int) -> Column:
