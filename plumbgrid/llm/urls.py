@@ -16,12 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbgrid.llm.text import small_or_shuffled
+from plumbgrid.operators.pairs import attach
 from plumbgrid.session import cut
 
 #: Share of labelled URLs that a rule's tokens must be in, and of those its label must have.
 SUPPORT, CONFIDENCE = 0.002, 0.8
-#: Tokens of a mined set at most; longer sets only repeat what their parts say.
-MOST_TOKENS = 3
+#: Labelled rows that a rule's tokens are in at least, however few there are.
+LEAST_ROWS = 3
+#: Groups of tokens, and judged token sets, up to which they may be broadcast (a few hundred bytes each).
+SMALL_CLASSES, SMALL_SETS = 20_000, 40_000
 #: Marks of the labels among the tokens.
 LABEL = "label="
 DEFAULT = "allow"
@@ -75,12 +78,15 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(named("h:", F.split(host, r"\.")), named("p:", pieces), named("q:", keys)))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, floor: int = LEAST_ROWS) -> DataFrame:
     """tokens (array), verdict, confidence, n: association rules from `labelled` (tokens, verdict).
 
-    Rules are pruned by support and confidence, and where a subset of their tokens says the
-    same with at least as much confidence. Token sets that cannot be frequent are not mined:
-    a row is cut to its frequent tokens first. Without labelled rows there are no rules.
+    Rules of every size, pruned by support (`floor` rows at least) and confidence, and where a
+    set with one token less says the same with at least as much confidence. What can be in no
+    rule that stays is not mined: tokens that are not frequent; tokens of one verdict only, which
+    are rules by themselves; and of tokens that stand in the same rows, all but one, for which
+    the others are put in afterwards. So one long URL, or a thousand copies of it, is one item.
+    Without labelled rows there are no rules.
     """
     spark = labelled.sparkSession
     schema = "tokens array<string>, verdict string, confidence double, n bigint"
@@ -88,15 +94,24 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     total = labelled.count()
     if not total:
         return spark.createDataFrame([], schema)
-    least = max(1, int(support * total))
-    # Tokens of at least that support: at most (tokens per URL) / support of them.
-    common = (labelled.select(F.explode("tokens").alias("token")).groupBy("token").count()
-              .where(F.col("count") >= least))
-    kept = [row.token for row in common.select("token").orderBy("token").collect()]
+    least = max(floor, int(support * total))
+    # A token's rows by two sums of hashes of what they hold; equal rows are one and the same.
+    row = [F.xxhash64(F.lit(i), F.array_sort("tokens"), "verdict").cast("decimal(20,0)") for i in range(2)]
+    posts = labelled.select(F.explode(F.array_distinct("tokens")).alias("token"), "verdict", *[h.alias(f"_h{i}") for i, h in enumerate(row)])
+    common = cut(posts.groupBy("token").agg(
+        F.count("*").alias("n"), F.min("verdict").alias("_first"), F.max("verdict").alias("_last"),
+        F.sum("_h0").alias("_s0"), F.sum("_h1").alias("_s1")).where(F.col("n") >= least))
+    sure = common.where(F.col("_first") == F.col("_last")).select(
+        F.array("token").alias("tokens"), F.col("_first").alias("verdict"), F.lit(1.0).alias("confidence"), "n")
+    # Of tokens with enough support there are at most (tokens per URL) / support.
+    classes = common.where(F.col("_first") != F.col("_last")).groupBy("n", "_s0", "_s1").agg(
+        F.min("token").alias("token"), F.array_sort(F.collect_list("token")).alias("_members")).select("token", "_members")
+    classes = cut(classes)
+    kept = [row.token for row in classes.select("token").orderBy("token").collect()]
     items = labelled.select(F.concat(F.array_intersect("tokens", F.array(*[F.lit(t) for t in kept]).cast("array<string>")),
-                                  F.array(F.concat(F.lit(LABEL), F.col("verdict")))).alias("items"))
+                                     F.array(F.concat(F.lit(LABEL), F.col("verdict")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=confidence).fit(cut(items))
-    found = cut(model.freqItemsets.where(F.size("items") <= MOST_TOKENS + 1))
+    found = cut(model.freqItemsets)
     is_label = F.exists("items", lambda t: t.startswith(LABEL))
     plain = F.filter("items", lambda t: ~t.startswith(LABEL))
     whole = found.where(~is_label).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
@@ -111,8 +126,14 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
         F.sequence(F.lit(1), F.size("tokens")), lambda i: F.filter(
             F.col("tokens"), lambda _, j: j != i - 1))).alias("_short")).join(
         shorter, "_short").where((F.col("_v") == F.col("verdict")) & (F.col("_c") >= F.col("confidence")))
-    return rules.join(said.select("tokens", "verdict").distinct(), ["tokens", "verdict"], "left_anti").select(
-        "tokens", "verdict", "confidence", "n")
+    minimal = rules.join(said.select("tokens", "verdict").distinct(), ["tokens", "verdict"], "left_anti")
+    # Every way to take one member for each token.
+    members = minimal.select("*", F.explode("tokens").alias("token")).join(small_or_shuffled(classes, SMALL_CLASSES), "token").groupBy(
+        "tokens", "verdict", "confidence", "n").agg(F.collect_list("_members").alias("_lists"))
+    ways = F.aggregate("_lists", F.array(F.array().cast("array<string>")), lambda made, list_: F.flatten(F.transform(
+        made, lambda m: F.transform(list_, lambda t: F.array_append(m, t)))))
+    return members.select(F.explode(ways).alias("_t"), "verdict", "confidence", "n").select(
+        F.array_sort("_t").alias("tokens"), "verdict", "confidence", "n").unionByName(sure)
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -138,7 +159,9 @@ def judge(pages: DataFrame, key: str = "page_id", given: tuple[Given, ...] = GIV
 
     `pages` needs the columns `key` and url. rule is the name of the given rule that decides, else
     null; then the mined rule in tokens_matched decides, or without one the verdict is DEFAULT.
-    Labels are the given rules' verdicts on all rows. Equal URLs are judged once.
+    Labels are the given rules' verdicts on all rows. Equal URLs are judged once. A null key, and
+    rows of one key, are judged like others; a null URL has no tokens; URLs may be of any length.
+    Without rows there are none.
     """
     host, path = parts(F.col("url"))
     parsed = pages.select(F.col(key), F.col("url").cast("string").alias("url")).select(
@@ -147,9 +170,18 @@ def judge(pages: DataFrame, key: str = "page_id", given: tuple[Given, ...] = GIV
                           tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
     mined = mine(ruled.where("_given is not null").select("tokens", F.col("_given.verdict").alias("verdict")))
     open_sets = cut(ruled.where("_given is null").select(F.array_sort("tokens").alias("tokens")).distinct())
-    found = matched(open_sets.select(F.xxhash64("tokens").alias("_key"), "tokens"), mined)
-    rows = ruled.withColumn("_key", F.when(F.col("_given").isNull(), F.xxhash64(F.array_sort("tokens"))))
-    joined = rows.join(found.withColumnRenamed("verdict", "_mined"), "_key", "left")
-    return joined.select(key, "host", "path", F.col("_given.rule").alias("rule"),
-                         F.coalesce("_given.verdict", "_mined", F.lit(DEFAULT)).alias("verdict"),
-                         "tokens_matched", "confidence")
+    # A set's name is a hash of 256 bits, so rows need not compare their tokens again.
+    name = F.sha2(F.array_join("tokens", "\0"), 256)
+    found = cut(matched(open_sets.select(name.alias("_key"), "tokens"), mined).withColumnRenamed("verdict", "_mined"))
+    rows = ruled.select(F.col(key).alias("_id"), "host", "path", "_given", F.array_sort("tokens").alias("tokens"))
+    undecided = rows.where("_given is null").select("_id", "host", "path", name.alias("_name"))
+    # Rows that a given rule decides do not take part in the join, and common sets are cut up.
+    small = found.limit(SMALL_SETS + 1).count() <= SMALL_SETS
+    joined = (undecided.join(F.broadcast(found), F.col("_name") == F.col("_key"), "left") if small
+              else attach(undecided, found, [("_name", "_key")], "left"))
+    nothing = [F.lit(None).cast("array<string>").alias("tokens_matched"), F.lit(None).cast("double").alias("confidence")]
+    decided = rows.where("_given is not null").select(
+        "_id", "host", "path", F.col("_given.rule").alias("rule"), F.col("_given.verdict").alias("verdict"), *nothing)
+    return joined.select("_id", "host", "path", F.lit(None).cast("string").alias("rule"),
+                         F.coalesce("_mined", F.lit(DEFAULT)).alias("verdict"), "tokens_matched", "confidence").unionByName(
+        decided).withColumnRenamed("_id", key)

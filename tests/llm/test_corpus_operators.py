@@ -206,11 +206,14 @@ def test_mined_rules_are_those_of_the_counts(spark):
     rng = random.Random(4)
     rows = [(rng.sample("abcdef", rng.randrange(1, 5)), rng.choice(("block", "allow", "allow"))) for _ in range(200)]
     rows += [(["a", "z"], "block")] * 30
+    # Four tokens together say what no three do, and two stand in the same rows.
+    for left_out in ("", *"abcd"):
+        rows += [([t for t in "abcd" if t != left_out] + ["f", "g"], "allow" if left_out else "block")] * 25
     got = {(tuple(r.tokens), r.verdict): (r.confidence, r.n) for r in urls.mine(
         spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.6).collect()}
     sure = {}
-    for size in (1, 2, 3):
-        for tokens in combinations("abcdefz", size):
+    for size in range(1, 9):
+        for tokens in combinations("abcdefgz", size):
             held = [v for t, v in rows if set(tokens) <= set(t)]
             for verdict in ("block", "allow"):
                 n = held.count(verdict)
@@ -219,6 +222,18 @@ def test_mined_rules_are_those_of_the_counts(spark):
     want = {k: v for k, v in sure.items() if not any(
         sure.get((tuple(t for t in k[0] if t != x), k[1]), (0,))[0] >= v[0] for x in k[0])}
     assert got == {k: (pytest.approx(c), n) for k, (c, n) in want.items()} and got
+    assert any(len(tokens) >= 4 for tokens, _ in got) and any("g" in tokens for tokens, _ in got)
+
+
+def test_long_urls_are_mined_in_time(spark):
+    """Forty path pieces, alone, in copies and in both verdicts: no list of their subsets."""
+    pieces = [f"p:{i}" for i in range(40)]
+    rows = [(pieces, "block")] + [([*pieces, "h:x"], "allow")] * 20 + [([*pieces, "h:y"], "block")] * 20 + [(["h:z"], "allow")] * 30
+    got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")).collect()
+    assert {(tuple(r.tokens), r.verdict) for r in got} == {(("h:x",), "allow"), (("h:y",), "block"), (("h:z",), "allow")}
+    wide = [(f"http://a.other/{'/'.join(f'w{i}' for i in range(40))}?x", "http://spam.net/" + "/".join(f"v{i}" for i in range(40)))[k % 2] for k in range(60)]
+    pages = spark.createDataFrame([(None if k == 5 else k, u) for k, u in enumerate(wide)], "page_id long, url string")
+    assert sorted(r.verdict for r in urls.judge(pages).collect()) == ["allow"] * 30 + ["block"] * 30
 
 
 def test_common_subsequence():
