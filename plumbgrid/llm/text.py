@@ -8,6 +8,7 @@ bounded by the slice, or by one document where a single document is larger.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,9 @@ SLICE_BYTES = 1 << 20
 #: Rows up to which a counted side may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
+#: Bytes above which a word is hashed as a whole.
+LONG_WORD = 32
+
 #: An odd base and its inverse for polynomial hashes modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -101,9 +105,17 @@ def word_spans(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
 
 
 def word_hashes(texts: pa.Array, table: Powers, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash per word, and each text's offset among the words."""
+    """A 64-bit hash per word, and each text's offset among the words.
+
+    Polynomials modulo 2**64 have words of some hundred letters on which every base agrees
+    (Thue-Morse words), so words over LONG_WORD bytes get a cryptographic hash instead.
+    """
     data, starts, ends, offsets = word_spans(texts, lower)
-    return spans(data.astype(np.uint64) + np.uint64(1), starts, ends, table), offsets
+    hashes = spans(data.astype(np.uint64) + np.uint64(1), starts, ends, table)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        name = blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
+        hashes[i] = int.from_bytes(name, "little")
+    return hashes, offsets
 
 
 def signed(x: np.ndarray) -> np.ndarray:

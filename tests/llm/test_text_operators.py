@@ -3,9 +3,11 @@
 import hashlib
 import re
 
+import pyarrow as pa
 import pytest
 
-from plumbgrid.llm import fingerprints, near, pii, secrets, substrings
+from plumbgrid.llm import decontaminate, fingerprints, near, pii, secrets, substrings
+from plumbgrid.llm.text import Powers, word_hashes
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -206,3 +208,30 @@ def test_near_duplicates_refuse_what_the_forest_would_miss():
         with pytest.raises(ValueError):
             near.near_duplicates(None, 3, percent)
     assert (1 - (near.LEAST_PERCENT / 100) ** near.DEPTH) ** near.TREES < 1e-5
+
+
+def thue_morse(power, a="a", b="b"):
+    word = a
+    for _ in range(power):
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+def test_words_on_which_polynomials_agree(spark):
+    """Thue-Morse words of 2 ** 9 to 2 ** 13 letters and their opposites are different words."""
+    rows = []
+    for power in range(5, 14):
+        one = thue_morse(power)
+        rows += [(10 * power, one), (10 * power + 1, one.translate(str.maketrans("ab", "ba"))),
+                 (10 * power + 2, f"{one} " + "x " * 12), (10 * power + 3, one.translate(str.maketrans("ab", "ba")) + " x" * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes, _ = word_hashes(pa.array([t for _, t in rows]), Powers())
+    texts = [w for _, t in rows for w in t.split()]
+    assert len(set(hashes.tolist())) == len(set(texts))
+    near_ones = near.near_duplicates(docs.where("doc_id % 10 < 2"), 3, 85).collect()
+    assert all(r.component_id == r.doc_id for r in near_ones) and len(near_ones) == 18
+    kept = substrings.without_repeats(docs.where("doc_id % 10 >= 2"), 13).collect()
+    assert len(kept) == 18 and all(r.n_removed == 0 for r in kept)
+    items = docs.where("doc_id % 10 = 2").select(F.col("doc_id").alias("item_id"), F.regexp_replace("text", " x", " y z").alias("text"))
+    held = decontaminate.leaks(docs.where("doc_id % 10 = 1"), items).collect()
+    assert not held
