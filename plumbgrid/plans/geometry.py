@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import planar, polygon, sphere
 from ..operators import zones
-from ..sources import tables as t
+from ..session import scratch_path
+from ..sources import curves, tables as t
 from .registry import query
 
 # Grid width in degrees for the zone joins, and the box of the box filters.
@@ -170,3 +171,18 @@ def zonal_balance(spark, folder):
     out = zones.zonal_stats(points, edges, CELL, ("lon", "lat"), "c_acctbal")
     return out.select("zone_id", "n", F.round("total", 4).alias("total"),
                       F.round("mean", 6).alias("mean"), "low", "high")
+
+
+# Twenty bits an axis: cells of about forty metres at the equator.
+WORLD = curves.Curve((-180.0, -90.0, 180.0, 90.0))
+HARBOUR = (-12.5, 30.0, 41.0, 47.25)
+
+
+@query("curve_box", f"""WITH {t.O_SQL}
+SELECT o_orderkey, o_totalprice, lon, lat FROM o WHERE lon >= -12.5 AND lon < 41 AND lat >= 30 AND lat < 47.25""")
+def curve_box(spark, folder):
+    """Orders in a box, read from a table along the curve."""
+    path = scratch_path(spark, "curve")
+    orders = t.orders(spark, folder).select("o_orderkey", "o_totalprice", "lon", "lat")
+    curves.write_curve(orders, path, ("lon", "lat"), WORLD)
+    return curves.read_curve(spark, path, ("lon", "lat"), WORLD, HARBOUR)
