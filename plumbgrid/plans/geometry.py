@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import planar, polygon, sphere
-from ..operators import zones
+from ..operators import dissolve, zones
 from ..session import scratch_path
 from ..sources import curves, tables as t
 from .registry import query
@@ -186,3 +186,20 @@ def curve_box(spark, folder):
     orders = t.orders(spark, folder).select("o_orderkey", "o_totalprice", "lon", "lat")
     curves.write_curve(orders, path, ("lon", "lat"), WORLD)
     return curves.read_curve(spark, path, ("lon", "lat"), WORLD, HARBOUR)
+
+
+@query("region_borders", f"""WITH {t.rings_sql()}, e AS (SELECT n_regionkey AS region, [x1, y1] AS a, [x2, y2] AS b
+    FROM z JOIN nation ON n_nationkey = zone_id),
+  p AS (SELECT DISTINCT region, unnest([a, b]) AS p FROM e),
+  c AS (SELECT e.region, a, b, p, lead(p) OVER (PARTITION BY e.region, a, b ORDER BY CASE WHEN a < b THEN p ELSE [-p[1], -p[2]] END) AS q
+    FROM e JOIN p ON p.region = e.region AND (b[1] - a[1]) * (p[2] - a[2]) - (b[2] - a[2]) * (p[1] - a[1]) = 0
+      AND p >= least(a, b) AND p <= greatest(a, b)),
+  s AS (SELECT region, least(p, q) AS lo, greatest(p, q) AS hi, CASE WHEN p < q THEN 1 ELSE -1 END AS way FROM c WHERE q IS NOT NULL),
+  k AS (SELECT region, lo, hi, sum(way) > 0 AS ahead FROM s GROUP BY region, lo, hi HAVING count(*) % 2 = 1)
+SELECT region, CASE WHEN ahead THEN lo[1] ELSE hi[1] END AS x1, CASE WHEN ahead THEN lo[2] ELSE hi[2] END AS y1,
+  CASE WHEN ahead THEN hi[1] ELSE lo[1] END AS x2, CASE WHEN ahead THEN hi[2] ELSE lo[2] END AS y2 FROM k""")
+def region_borders(spark, folder):
+    """The borders of regions, from the zones of their nations."""
+    edges = zones.ring_edges(t.nation_rings(spark, folder))
+    regions = t.table(spark, folder, "nation").select(F.col("n_nationkey").cast("long").alias("zone_id"), F.col("n_regionkey").alias("region"))
+    return dissolve.dissolve(dissolve.grouped(edges, regions, "zone_id", "region"), "region", CELL)
