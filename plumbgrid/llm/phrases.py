@@ -48,6 +48,10 @@ CHUNK_BITS = 1 << 15
 COUNT_BYTES = 1 << 21
 #: Groups in which the best of a language are chosen before they meet.
 SALTS = 64
+#: Grams whose flows a task adds up before it sends them.
+FLOW_ROWS = 400_000
+#: Words up to which their counts may be broadcast, some thirty bytes each.
+SMALL_WORDS = 400_000
 #: Text whose grams make a bucket, about: what a task adds up at once.
 BUCKET_BYTES = 1 << 24
 KIND = np.zeros(256, dtype=np.uint8)  # 0: word, 1: between words, 2: between pieces
@@ -153,7 +157,7 @@ def _join_words(words: pa.Array, *ids: np.ndarray) -> pa.Array:
     return pc.binary_join_element_wise(*[words.take(pa.array(i)) for i in ids], pa.scalar(b" ", pa.large_binary()))
 
 
-def grams(texts: DataFrame, known: np.ndarray) -> DataFrame:
+def grams(texts: DataFrame, known: np.ndarray, buckets: int) -> DataFrame:
     """(lang, gram, size, c): the grams that start at the words of all texts, of three words at most.
 
     A gram ends before the next word where the piece ends or the pair with it is rare; one that
@@ -163,8 +167,6 @@ def grams(texts: DataFrame, known: np.ndarray) -> DataFrame:
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(known)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size_of = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(parts, -(-size_of // BUCKET_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits = Powers(), shared.value
@@ -217,6 +219,11 @@ def grams(texts: DataFrame, known: np.ndarray) -> DataFrame:
                     text = pc.binary_join_element_wise(head, _join_words(found.words, *words), pa.scalar(b"", pa.large_binary())) if k else head
                     yield _packed(text, n[of], bucket[of])
 
+    return _summed(texts.mapInArrow(run, "bucket bigint, grams binary"), parts)
+
+
+def _summed(packed: DataFrame, parts: int) -> DataFrame:
+    """(lang, gram, size, c) of packed rows, a bucket at a time."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; those of one are added up at its end."""
         held: list[pa.Table] = []
@@ -231,11 +238,50 @@ def grams(texts: DataFrame, known: np.ndarray) -> DataFrame:
         if held:
             yield from _added(held)
 
-    packed = texts.mapInArrow(run, "bucket bigint, grams binary")
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
         add, "lang string, gram string, size int, c bigint")
 
 
+def flows(counted: DataFrame, buckets: int) -> DataFrame:
+    """(lang, gram, size, c): what all grams say of their first two words and of their first.
+
+    The flow out of a node and its remainder are the node's count; an empty gram counts the
+    words that are in no phrase.
+    """
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, held = Powers(), []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            head = pc.binary_join_element_wise(rows.column("lang"), pa.scalar("\t"), "")
+            size = rows.column("size").to_numpy()
+            pairs = pc.if_else(pa.array(size == 3), pc.list_element(pc.split_pattern(rows.column("gram"), " ", max_splits=1, reverse=True), 0),
+                               rows.column("gram"))
+            firsts = pc.list_element(pc.split_pattern(rows.column("gram"), " ", max_splits=1), 0)
+            keys = pa.chunked_array([*pc.binary_join_element_wise(head, firsts, "").chunks,
+                                     *pc.binary_join_element_wise(head, pairs, "").filter(pa.array(size >= 2)).chunks])
+            c = rows.column("c").to_numpy()
+            whole = pa.table({"gram": keys, "c": np.concatenate([c, c[size >= 2]])}).group_by("gram").aggregate([("c", "sum")])
+            text = whole.column("gram").combine_chunks().cast(pa.large_string()).cast(pa.large_binary())
+            data, offsets = flat_bytes(text)
+            bucket = mix(spans(data.astype(np.uint64) + np.uint64(1), offsets[:-1], offsets[1:], table)) % np.uint64(buckets)
+            whole = pa.table({"gram": text, "c": whole.column("c_sum"), "bucket": pa.array(bucket.astype(np.int64))}).sort_by(
+                [("bucket", "ascending"), ("gram", "ascending")]).combine_chunks()
+            yield _packed(whole.column("gram").combine_chunks(), whole.column("c").to_numpy(), whole.column("bucket").to_numpy())
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= FLOW_ROWS:
+                yield from packed()
+                held.clear()
+        if held and sum(b.num_rows for b in held):
+            yield from packed()
+
+    return _summed(counted.mapInArrow(run, "bucket bigint, grams binary"), parts)
+
+
 def _packed(texts: pa.LargeBinaryArray, n: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     """One row per bucket: its grams, sorted, compressed with their counts."""
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[: len(texts) + 1]
@@ -272,23 +318,27 @@ def _added(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
                                          ["lang", "gram", "size", "c"])
 
 
-def prefix(words: int) -> Column:
-    return F.substring_index("gram", " ", words)
+def bucket_count(texts: DataFrame) -> int:
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
 def graph(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Written tables: edges (lang, a, b, c, n), nodes (lang, a, b, n), words (lang, word, n) and totals
     (lang, n); of the first three, those that occur `least` times or more."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string"))
-    counted = cut(grams(texts, node_filter(texts, least)))
+    buckets = bucket_count(texts)
+    counted = cut(grams(texts, node_filter(texts, least), buckets))
     edges = cut(counted.where((F.col("size") == 3) & (F.col("c") >= least)).select(
         "lang", F.split("gram", " ").alias("w"), F.col("c").alias("n")).select(
         "lang", *[F.col("w")[i].alias(x) for i, x in enumerate("abc")], "n"))
-    nodes = cut(counted.where("size >= 2").groupBy("lang", prefix(2).alias("gram")).agg(F.sum("c").alias("n")).where(
-        F.col("n") >= least).select("lang", prefix(1).alias("a"), F.substring_index("gram", " ", -1).alias("b"), "n"))
-    every = cut(counted.groupBy("lang", prefix(1).alias("word")).agg(F.sum("c").alias("n")))
-    totals = every.groupBy("lang").agg(F.sum("n").alias("n"))
-    return edges, nodes, every.where((F.col("n") >= least) & (F.col("word") != "")), totals
+    summed = cut(flows(counted, buckets))
+    word = F.split("gram", " ")
+    nodes = cut(summed.where((F.col("size") == 2) & (F.col("c") >= least)).select(
+        "lang", word[0].alias("a"), word[1].alias("b"), F.col("c").alias("n")))
+    words = cut(summed.where((F.col("size") == 1) & (F.col("c") >= least)).select("lang", F.col("gram").alias("word"), F.col("c").alias("n")))
+    totals = summed.where("size < 2").groupBy("lang").agg(F.sum("c").alias("n"))
+    return edges, nodes, words, totals
 
 
 def paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -333,7 +383,7 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 def _counts(table: DataFrame, keys: list[str], count: str) -> DataFrame:
     """A written table of counts with other names, broadcast if it is small."""
     return small_or_shuffled(table.select("lang", *[F.col(c).alias(k) for c, k in zip(table.columns[1:], keys)],
-                                          F.col("n").alias(count)))
+                                          F.col("n").alias(count)), SMALL_WORDS)
 
 
 def candidates(edges: DataFrame, nodes: DataFrame, words: DataFrame, held: int = HELD) -> DataFrame:
@@ -342,11 +392,16 @@ def candidates(edges: DataFrame, nodes: DataFrame, words: DataFrame, held: int =
     `path` is the compacted path that holds a phrase of three words. Pairs held by one of
     three, as often as `held` percent, are left out.
     """
-    found = cut(paths(edges, nodes))
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("c").alias("b"))))
+    longest = edges.select("lang", ends.alias("e"), "n").groupBy("lang", "e.a", "e.b").agg(F.max("n").alias("_most"))
+    known = cut(nodes.join(longest, ["lang", "a", "b"], "left"))
+    # Only nodes at an edge are parts of a phrase of three.
+    linked = cut(known.where(F.col("_most").isNotNull()).select(*nodes.columns))
+    found = cut(paths(edges, linked))
     runs = found.select("lang", "n", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 3)).alias("i"))
     three = runs.select("lang", *[F.get("words", F.col("i") + k).alias(x) for k, x in enumerate("abc")],
                         F.col("n").alias("f"), F.concat_ws(" ", "words").alias("path"))
-    f_ab, f_bc = _counts(nodes, ["a", "b"], "f_ab"), _counts(nodes, ["b", "c"], "f_bc")
+    f_ab, f_bc = _counts(linked, ["a", "b"], "f_ab"), _counts(linked, ["b", "c"], "f_bc")
     f_a, f_b, f_c = (_counts(words, [x], f"f_{x}") for x in "abc")
     three = three.join(f_ab, ["lang", "a", "b"]).join(f_bc, ["lang", "b", "c"]).join(f_a, ["lang", "a"]).join(f_c, ["lang", "c"])
     one, two = _score(F.col("f"), F.col("f_a"), F.col("f_bc")), _score(F.col("f"), F.col("f_ab"), F.col("f_c"))
@@ -355,10 +410,7 @@ def candidates(edges: DataFrame, nodes: DataFrame, words: DataFrame, held: int =
                          F.struct(two.alias("score"), F.lit(2).alias("k"), F.col("f_ab").alias("l"), F.col("f_c").alias("r")).alias("y"))
     three = three.select("lang", "phrase", "a", "path", F.least("x", "y").alias("x")).select(
         "lang", "phrase", "a", "x.l", "x.r", "x.score", "path")
-    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("c").alias("b"))))
-    longest = edges.select("lang", ends.alias("e"), "n").groupBy("lang", "e.a", "e.b").agg(F.max("n").alias("_most"))
-    pairs = nodes.join(longest, ["lang", "a", "b"], "left").where(
-        F.coalesce(F.col("_most") * 100 < F.col("n") * held, F.lit(True)))
+    pairs = known.where(F.coalesce(F.col("_most") * 100 < F.col("n") * held, F.lit(True)))
     pairs = pairs.join(f_a, ["lang", "a"]).join(f_b, ["lang", "b"]).select(
         "lang", F.concat_ws(" ", "a", "b").alias("phrase"), F.col("n").alias("a"), F.col("f_a").alias("l"),
         F.col("f_b").alias("r"), _score(F.col("n"), F.col("f_a"), F.col("f_b")).alias("score"), F.lit(None).cast("string").alias("path"))
