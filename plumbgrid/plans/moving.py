@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import tracks, zones
+from ..operators import rollups, tracks, zones
+from ..session import cut
 from ..sources import tables as t
 from .geometry import CELL, CROSS
 from .neighbours import rounded
@@ -72,3 +73,18 @@ WHERE was IS DISTINCT FROM zone_id""")
 def geofence(spark, folder):
     """Where users enter and leave zones."""
     return tracks.zone_changes(located(spark, folder), "user_id", "ts", "event_id", "zone_id")
+
+
+@query("cell_rollup", f"""WITH {t.V_SQL}, c AS (SELECT l AS level, CAST(floor(lon / (2e0 * 2 ** l)) AS BIGINT) AS col,
+    CAST(floor(lat / (2e0 * 2 ** l)) AS BIGINT) AS row, v.user_id, value FROM v JOIN events USING (event_id), (SELECT unnest(range(0, 6)) AS l))
+SELECT CAST(level AS INTEGER) AS level, col, row, count(*) AS n, round(sum(value), 3) AS total, min(value) AS low, max(value) AS high,
+  count(DISTINCT user_id) AS "distinct",
+  CASE WHEN count(*) <= 200 THEN list_sort(list(value))[CAST(ceil(count(*) * 5e-1) AS BIGINT)] END AS median FROM c GROUP BY 1, 2, 3""")
+def cell_rollup(spark, folder):
+    """Fixes per cell of two degrees and of five coarser levels, from one pass over the points."""
+    events = t.table(spark, folder, "events")
+    fixes = t.located_events(events).join(events.select("event_id", "value"), "event_id")
+    cells = cut(rollups.summed_cells(fixes, LONLAT, 2.0, "user_id", "value"))
+    out = rollups.estimates(rollups.pyramid(cells, 5), [0.5])
+    return out.select("level", "col", "row", "n", F.round("total", 3).alias("total"), "low", "high", "distinct",
+                      F.when(F.col("n") <= 200, F.col("quantiles")[0]).alias("median"))
