@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import clusters, hulls, permutations
+from pyspark.sql import functions as F
+
+from ..operators import clusters, colocation, hulls, permutations
 from ..sources import tables as t
 from .neighbours import PAIRS, RADIUS, XY, rounded
 from .registry import query
@@ -72,3 +74,20 @@ FROM lag JOIN own USING (vec_id) WHERE rep > 0 GROUP BY vec_id""")
 def local_test(spark, folder):
     """Local Moran and Getis-Ord statistics against 19 permutations."""
     return permutations.local_test(t.valued_points(spark, folder), "vec_id", XY, "v", RADIUS, 19)
+
+
+@query("colocations", f"""WITH {t.E_SQL}, p AS (SELECT a.vec_id AS i, b.vec_id AS j, CAST(a.label AS VARCHAR) AS ti, CAST(b.label AS VARCHAR) AS tj
+    FROM e a JOIN e b ON CAST(a.label AS VARCHAR) < CAST(b.label AS VARCHAR)
+      AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.03e0 * 0.03e0),
+  x AS (SELECT [ti, tj] AS types, [i, j] AS points FROM p UNION ALL
+    SELECT [a.ti, a.tj, b.tj], [a.i, a.j, b.j] FROM p a JOIN p b ON a.j = b.i JOIN p c ON c.i = a.i AND c.j = b.j),
+  n AS (SELECT CAST(label AS VARCHAR) AS t, count(*) AS total FROM e GROUP BY 1),
+  u AS (SELECT types, t, count(DISTINCT point) AS used FROM (SELECT types, unnest(types) AS t, unnest(points) AS point FROM x) GROUP BY types, t),
+  s AS (SELECT types, min(used / total) AS participation FROM u JOIN n USING (t) GROUP BY types),
+  k AS (SELECT types, count(*) AS instances FROM x GROUP BY types)
+SELECT array_to_string(types, ' ') AS types, CAST(len(types) AS INTEGER) AS size, instances, round(participation, 9) AS participation
+FROM s JOIN k USING (types) WHERE participation >= 0.2""")
+def colocations(spark, folder):
+    """Two or three labels that occur together."""
+    out = colocation.colocations(t.embedding_points(spark, folder), "vec_id", "label", XY, 0.03, 0.2, 3)
+    return rounded(out.withColumn("types", F.array_join("types", " ")), 9, "participation")
