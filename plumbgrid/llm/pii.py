@@ -2,7 +2,9 @@
 
 The field scores whole candidate segments (some words in a row) by features of the segment, and
 a dynamic programme over segments of at most MAX_WORDS words picks boundaries and types at once.
-It learns from what the patterns find in a bounded sample. A plain word (without a digit or an at
+It learns from what the patterns find in a bounded sample, and from copies of the same regions in
+which each of these entities is written as the patterns do not see it (`rewritten`): other marks
+between the digits, a dot spelled out, no plus. So it adds such entities. A plain word (without a digit or an at
 sign, and not a filler) may not stand in a segment at all, neither at its ends nor inside, and a segment
 of more than MAX_WORDS words or 320 characters is not scored. So the field adds no span such as
 '+1 555 ext 204'. Under these limits the programme loses nothing by running over the regions between
@@ -36,12 +38,17 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+DIGITS = re.compile(r"[0-9]+")
+FOUR = re.compile(r"[0-9]{1,3}(?:[^0-9A-Za-z@]{1,2}[0-9]{1,3}){3}")
+QUADS = re.compile(r"(?:[0-9]{4}[^0-9A-Za-z@]{1,2}){2,4}[0-9]{1,4}")
+DATE = re.compile(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CORE = re.compile(r"[0-9@]")
 FILLER = re.compile(r"[()./-]+")
 TRIM = "\"'`.,;:!?()[]{}<>*#$%&|"
 
 Span = tuple[int, int, int]  # kind, start, end
+Example = tuple[int, list, np.ndarray, list[tuple[int, int]]]
 
 
 def luhn(digits: str) -> bool:
@@ -122,7 +129,9 @@ def regions(text: str) -> list[list[tuple[int, int]]]:
 FEATURES = (["bias"] + [f"words{n}" for n in range(1, MAX_WORDS + 1)]
             + [f"digits{n}" for n in ("0", "1-3", "4-6", "7-8", "9-11", "12-15", "16", "17-19", "20+")]
             + ["at", "at_local", "at_domain", "plus", "only_digits", "digits_space", "digits_dots", "phone_marks",
-               "letters", "luhn", "dotted4", "octets", "hex", "brackets", "ends_digit", "starts_digit"])
+               "letters", "luhn", "dotted4", "octets", "hex", "brackets", "ends_digit", "starts_digit",
+               "four_octets", "quads", "date", "lead00", "lead0", "one_mark", "at_letters", "two_words_of_kind"]
+            + [f"groups{n}" for n in ("1", "2", "3", "4", "5-6", "7+")])
 INDEX = {name: i for i, name in enumerate(FEATURES)}
 
 
@@ -134,6 +143,9 @@ def features(s: str, n_words: int) -> list[int]:
             else "12-15" if n < 16 else "16" if n == 16 else "17-19" if n < 20 else "20+")
     local, at, domain = s.partition("@")
     dotted = bool(IP.fullmatch(s))
+    runs = DIGITS.findall(s)
+    marks = set(s) - set("0123456789")
+    groups = str(len(runs)) if len(runs) < 5 else "5-6" if len(runs) < 7 else "7+"
     tests = {
         "bias": True, f"words{n_words}": True, f"digits{size}": True, "at": bool(at),
         "at_local": bool(at and local and set(local) <= LOCAL), "at_domain": bool(at and DOMAIN.fullmatch(domain)),
@@ -142,6 +154,10 @@ def features(s: str, n_words: int) -> list[int]:
         "letters": any(c.isalpha() for c in s), "luhn": 12 <= n <= 19 and luhn(digits), "dotted4": dotted,
         "octets": dotted and octets(s), "hex": n < len(s) and bool(re.fullmatch(r"[0-9a-f]{16,}", s)),
         "brackets": "(" in s, "ends_digit": s[-1:].isdigit(), "starts_digit": s[:1].isdigit(),
+        "four_octets": bool(FOUR.fullmatch(s)) and all(int(r) <= 255 for r in runs), "quads": bool(QUADS.fullmatch(s)),
+        "date": bool(DATE.fullmatch(s)), "lead00": s.startswith("00"), "lead0": s.startswith("0"), "one_mark": len(marks) == 1,
+        "at_letters": bool(at and domain[:1].isalnum() and any(c.isalpha() for c in domain)),
+        "two_words_of_kind": s.count("@") > 1, f"groups{groups}": len(runs) > 0,
     }
     return [INDEX[k] for k, holds in tests.items() if holds]
 
@@ -203,51 +219,105 @@ def gold(run: list[tuple[int, int]], segments: list, found: list[Span]) -> list[
     return out
 
 
-def fit(examples: list[tuple[int, list, np.ndarray, list[tuple[int, int]]]]) -> np.ndarray:
-    """Weights (kind, feature) by gradient ascent on the likelihood of the gold segmentations.
+def rewritten(text: str, found: list[Span], draw: int) -> tuple[str, list[Span]]:
+    """A text with its spans written so that the patterns do not find them, and where they are now.
+
+    `draw` picks among the ways; spans that overlap one before them stay as they are and go.
+    """
+    out, spans, at, length = [], [], 0, 0
+    for kind, s, e in found:
+        if s < at:
+            continue
+        way, old = (draw + s) % 4, text[s:e]
+        if kind == 0:
+            local, _, domain = old.partition("@")
+            new = f"{local}@{domain.replace('.', ('_', ',', '-dot-', '(dot)')[way])}"
+        elif kind == 1:
+            new = old.replace(".", ("-", ",", ":", "..")[way])
+        elif kind == 2:
+            digits = digits_of(old)
+            new = (".", "_", "/", "  ")[way].join(digits[i:i + 4] for i in range(0, len(digits), 4))
+        else:
+            digits = old[1:]
+            new = (digits, "00" + digits, digits.replace(" ", ".").replace("-", "."), digits.replace(" ", "/"))[way]
+        out += [text[at:s], new]
+        length += s - at
+        spans.append((kind, length, length + len(new)))
+        length += len(new)
+        at = e
+    return "".join([*out, text[at:]]), spans
+
+
+def examples_of(region: str) -> list[Example]:
+    """What the field learns from a region: itself, and its rewritten copies if it holds entities."""
+    found = base_spans(region)
+    texts = [(region, found)] + [rewritten(region, found, draw) for draw in (range(2) if found else ())]
+    out = []
+    for text, spans in texts:
+        for run in regions(text):
+            segments, matrix = candidates(text, run)
+            out.append((len(run), segments, matrix, gold(run, segments, spans)))
+    return out
+
+
+def likelihood(example: Example, weights: np.ndarray) -> tuple[float, np.ndarray]:
+    """The logarithm of the probability of an example's gold segmentation, and its gradient.
 
     An example is its number of words, its segments, their features and the gold segments.
+    Sums over all segmentations come from a forward and a backward pass.
+    """
+    n, segments, rows, right = example
+    scores = rows @ weights.T
+    each = np.logaddexp.reduce(scores, axis=1) if len(segments) else scores[:, :0].sum(axis=1)
+    forward, backward = [0.0] + [-np.inf] * n, [-np.inf] * n + [0.0]
+    by_end: dict[int, list[int]] = {}
+    by_start: dict[int, list[int]] = {}
+    for k, (i, j, _, _) in enumerate(segments):
+        by_end.setdefault(j, []).append(k)
+        by_start.setdefault(i, []).append(k)
+    for j in range(1, n + 1):
+        terms = [forward[j - 1]] + [forward[segments[k][0]] + each[k] for k in by_end.get(j, ())]
+        forward[j] = np.logaddexp.reduce(terms)
+    for i in range(n - 1, -1, -1):
+        terms = [backward[i + 1]] + [backward[segments[k][1]] + each[k] for k in by_start.get(i, ())]
+        backward[i] = np.logaddexp.reduce(terms)
+    if not len(segments):
+        return 0.0, np.zeros_like(weights)
+    outside = np.array([forward[i] + backward[j] for i, j, _, _ in segments]) - forward[n]
+    gradient = np.exp(scores + outside[:, None])
+    for k, kind in right:
+        gradient[k, kind] -= 1
+    return sum(scores[k, kind] for k, kind in right) - forward[n], -gradient.T @ rows
+
+
+def fit(examples: list[Example]) -> np.ndarray:
+    """Weights (kind, feature) by gradient ascent on the likelihood of the gold segmentations.
+
     Without examples all weights are 0 and nothing is added.
     """
     weights = np.zeros((len(KINDS), len(FEATURES)))
     squares = np.full_like(weights, 1e-6)
     for _ in range(EPOCHS if examples else 0):
         gradient = -DECAY * len(examples) * weights
-        for n, segments, rows, right in examples:
-            scores = rows @ weights.T
-            each = np.logaddexp.reduce(scores, axis=1) if len(segments) else scores[:, :0].sum(axis=1)
-            forward, backward = [0.0] + [-np.inf] * n, [-np.inf] * n + [0.0]
-            by_end: dict[int, list[int]] = {}
-            by_start: dict[int, list[int]] = {}
-            for k, (i, j, _, _) in enumerate(segments):
-                by_end.setdefault(j, []).append(k)
-                by_start.setdefault(i, []).append(k)
-            for j in range(1, n + 1):
-                terms = [forward[j - 1]] + [forward[segments[k][0]] + each[k] for k in by_end.get(j, ())]
-                forward[j] = np.logaddexp.reduce(terms)
-            for i in range(n - 1, -1, -1):
-                terms = [backward[i + 1]] + [backward[segments[k][1]] + each[k] for k in by_start.get(i, ())]
-                backward[i] = np.logaddexp.reduce(terms)
-            if len(segments):
-                outside = np.array([forward[i] + backward[j] for i, j, _, _ in segments]) - forward[n]
-                expected = np.exp(scores + outside[:, None])
-                for k, kind in right:
-                    expected[k, kind] -= 1
-                gradient -= expected.T @ rows
+        for example in examples:
+            gradient += likelihood(example, weights)[1]
         squares += gradient ** 2
         weights += RATE * gradient / np.sqrt(squares)
     return weights
 
 
 def added_spans(text: str, found: list[Span], weights: np.ndarray) -> list[Span]:
-    """Spans of the best segmentation that score enough and meet none of the patterns' spans."""
+    """Spans of the best segmentation that score enough and meet none of the patterns' spans (`found`, by start)."""
     out = []
+    starts = np.array([a for _, a, _ in found], dtype=np.int64)
+    reach = np.maximum.accumulate(np.array([b for _, _, b in found], dtype=np.int64))
     for run in regions(text):
         segments, rows = candidates(text, run)
         scores = rows @ weights.T
         for k, kind in best_segments(len(run), segments, scores):
             _, _, s, e = segments[k]
-            if scores[k, kind] >= MIN_SCORE and not any(a < e and b > s for _, a, b in found):
+            before = int(np.searchsorted(starts, e))
+            if scores[k, kind] >= MIN_SCORE and not (before and reach[before - 1] > s):
                 out.append((kind, s, e))
     return out
 
@@ -282,18 +352,15 @@ def train(docs: DataFrame, regions_limit: int = SAMPLE_REGIONS) -> np.ndarray:
     half = regions_limit // 2
     rows = [r for held in (True, False) for r in
             drawn.where(F.col("held") == held).orderBy("place", "region").limit(half).collect()]
-    examples = []
-    for row in rows:
-        for run in regions(row.region):
-            segments, matrix = candidates(row.region, run)
-            examples.append((len(run), segments, matrix, gold(run, segments, base_spans(row.region))))
-    return fit(examples)
+    return fit([x for row in rows for x in examples_of(row.region)])
 
 
 def find(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, base array<struct<kind, start, end>>, added the same, one row per row of `docs`.
 
-    Offsets count code points, end exclusive. A null text is empty; other columns are left out.
+    Offsets count code points, end exclusive. A null text is empty, a null doc_id stays null, and
+    rows of one doc_id stay rows each; other columns are left out. Of segmentations with equal
+    scores the one with fewer entities counts. Time and memory grow with a text's length.
     """
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 

@@ -158,6 +158,74 @@ def test_personal_data(spark, empty):
     assert pii.find(empty, pii.train(empty)).count() == 0
 
 
+def test_the_gradient_is_that_of_the_likelihood():
+    """Against all segmentations listed, and against differences."""
+    import numpy as np
+    rng = np.random.default_rng(2)
+    texts = ["1.2.3.4 4111 1111 1111 1111 7", "a@b.c +1 555 123 4567", "12 - 34"]
+    for text in texts:
+        (example, *_), weights = pii.examples_of(text), rng.normal(size=(4, len(pii.FEATURES))) * .3
+        n, segments, rows, right = example
+
+        def score(chosen, w):
+            return sum(float(rows[k] @ w[kind]) for k, kind in chosen)
+
+        def ways(at):
+            if at >= n:
+                yield []
+                return
+            yield from ways(at + 1)
+            for k, (i, j, _, _) in enumerate(segments):
+                if i == at:
+                    for rest in ways(j):
+                        for kind in range(4):
+                            yield [(k, kind), *rest]
+
+        value, gradient = pii.likelihood(example, weights)
+        if n <= 5:
+            total = np.logaddexp.reduce([score(c, weights) for c in ways(0)])
+            assert abs(value - (score(right, weights) - total)) < 1e-9
+        for _ in range(12):
+            at = (int(rng.integers(4)), int(rng.integers(len(pii.FEATURES))))
+            step = np.zeros_like(weights)
+            step[at] = 1e-5
+            slope = (pii.likelihood(example, weights + step)[0] - pii.likelihood(example, weights - step)[0]) / 2e-5
+            assert abs(slope - gradient[at]) < 1e-6
+
+
+def test_the_field_adds_what_the_patterns_do_not_see(spark):
+    """Entities of documents it has not learned from, rewritten in place: found, and little else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    weights = pii.train(docs.where("doc_id % 3 <> 0"))
+    hits, asked, extra, seen = 0, 0, 0, 0
+    for row in docs.where("doc_id % 3 = 0").select("text").collect():
+        text = row.text or ""
+        found = pii.base_spans(text)
+        extra, seen = extra + len(pii.added_spans(text, found, weights)), seen + 1
+        for draw in (2, 3):
+            other, spans = pii.rewritten(text, found, draw)
+            base = pii.base_spans(other)
+            got = base + pii.added_spans(other, base, weights)
+            assert all(other[s:e] != text[a:b] for (_, s, e), (_, a, b) in zip(spans, found))
+            asked += len(spans)
+            hits += sum(any(g[0] == k and g[1] < e and g[2] > s for g in got) for k, s, e in spans)
+    assert asked >= 40 and hits >= 0.9 * asked
+    assert extra <= 0.01 * seen
+
+
+def test_long_texts_of_numbers(spark):
+    import time
+    import numpy as np
+    weights = np.random.default_rng(0).normal(size=(4, len(pii.FEATURES)))
+    took = []
+    for n in (4_000, 16_000):
+        text = " ".join(f"10.{i % 250}.3.{i % 99} {i}" for i in range(n))
+        start = time.time()
+        pii.added_spans(text, pii.base_spans(text), weights)
+        took.append(time.time() - start)
+    assert took[1] < 8 * took[0]
+
+
 def test_segmentation_is_the_best_one():
     import numpy as np
     rng = np.random.default_rng(1)
