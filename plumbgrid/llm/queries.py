@@ -53,6 +53,22 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+SQL["op10_near_duplicates"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 2], ' ')) AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, least(len(ws), 1) + 1))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS (SELECT a.doc_id AS i, b.doc_id AS j FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+         JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+         GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+ways AS (SELECT i, j FROM link UNION ALL SELECT j, i FROM link),
+reach(i, j) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.i, b.j FROM reach r JOIN ways b ON r.j = b.i)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.j) AS component_id, min(r.j) = w.doc_id AS kept
+FROM w JOIN reach r ON r.i = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id, n.n
+"""
+
+
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 13-word passages that an earlier one holds."""
