@@ -23,8 +23,9 @@ def frame(spark, points):
     return spark.createDataFrame(points, "id long, x double, y double, v double").cache()
 
 
-@pytest.mark.parametrize("radius", [0.0004, 0.6])
-@pytest.mark.parametrize("split_rows,crowded,leaf", [(9, 256, 4096), (20_000, 3, 40), (9, 0, 1)])
+@pytest.mark.parametrize("radius,split_rows,crowded,leaf", [
+    *[(r, *x) for r in (0.0004, 0.6) for x in ((9, 256, 4096), (20_000, 3, 40), (9, 0, 1))],
+    (0.05, 20_000, 256, 4096), (0.05, 9, 0, 1), (0.6, 20_000, 256, 4096)])
 def test_sums(frame, points, radius, split_rows, crowded, leaf, monkeypatch):
     monkeypatch.setattr(sums, "LEAF_PAIRS", leaf)
     monkeypatch.setattr(sums, "CHEAP_PAIRS", 0)
