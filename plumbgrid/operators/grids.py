@@ -64,14 +64,33 @@ def grid_centres(points: DataFrame, xy: tuple[str, str], size: float) -> DataFra
                         ((F.col("row") + 0.5) * s).alias("cy"))
 
 
+def near_centres(points: DataFrame, xy: tuple[str, str], size: float, reach: int) -> DataFrame:
+    """(col, row, cx, cy) for every cell at most ``reach`` columns and rows from one with a point.
+
+    A stray point costs its own surroundings, not a grid that reaches out to it.
+    """
+    s = F.lit(float(size))
+    col, row = square_cell(*xy, size)
+    cells = points.where(valid_xy(*xy)).select(col.alias("col"), row.alias("row")).distinct()
+    for name in ("col", "row"):
+        other = "row" if name == "col" else "col"
+        around = F.explode(F.sequence(F.col(name) - reach, F.col(name) + reach)).alias(name)
+        cells = cells.select(around, other).distinct()
+    return cells.select("col", "row", ((F.col("col") + 0.5) * s).alias("cx"), ((F.col("row") + 0.5) * s).alias("cy"))
+
+
 def inverse_distance(points: DataFrame, key: str, xy: tuple[str, str], value: str, size: float,
-                     k: int, split_rows: int = SPLIT_ROWS) -> DataFrame:
+                     k: int, split_rows: int = SPLIT_ROWS, reach: int | None = None) -> DataFrame:
     """(col, row, estimate): mean of the k nearest values at each cell centre, weighted by
-    inverse squared distance. Points on the centre itself decide alone."""
+    inverse squared distance. Points on the centre itself decide alone.
+
+    For every cell of the points' bounding box, or for those at most ``reach`` cells from a point.
+    """
     known = points.where(F.col(value).isNotNull()).select(
         F.col(key).alias("_key"), F.col(xy[0]).alias("_px"), F.col(xy[1]).alias("_py"),
         F.col(value).alias("_value"))
-    centres = grid_centres(points, xy, size).select(
+    cells = grid_centres(points, xy, size) if reach is None else near_centres(points, xy, size, reach)
+    centres = cells.select(
         F.struct("col", "row").alias("_cell"), "col", "row", "cx", "cy")
     near = nearest(centres, known, k, "_cell", "_key", ("cx", "cy"), ("_px", "_py"), split_rows)
     near = near.join(known, "_key")

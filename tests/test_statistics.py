@@ -1,6 +1,7 @@
 """Neighbourhood sums, autocorrelation, patterns, clusters and hulls with copies and crowds."""
 
 import math
+import random
 
 import brute
 import numpy as np
@@ -237,3 +238,17 @@ def test_inverse_distance_at_a_point(spark):
                                "id long, x double, y double, v double")
     got = {(r.col, r.row): r.estimate for r in grids.inverse_distance(df, "id", XY, "v", 1.0, 3).collect()}
     assert got[0, 0] == 8.0 and len(got) == 6
+
+
+def test_cells_near_points_only(spark):
+    """A stray point a billion cells away adds its own surroundings; estimates stay those of the whole grid."""
+    rng = random.Random(12)
+    spots = [(i, rng.uniform(0, 6), rng.uniform(0, 6), rng.uniform(0, 9)) for i in range(25)] + [(99, 1e9, -1e9, 4.0), (98, None, 1.0, 1.0)]
+    df = spark.createDataFrame(spots, "id long, x double, y double, v double")
+    got = {(r.col, r.row): r.estimate for r in grids.inverse_distance(df, "id", XY, "v", 1.0, 3, reach=1).collect()}
+    known = [p for p in spots if p[1] is not None]
+    assert set(got) == {(int(p[1] // 1) + a, int(p[2] // 1) + b) for p in known for a in (-1, 0, 1) for b in (-1, 0, 1)}
+    whole = grids.inverse_distance(df.where("id < 98"), "id", XY, "v", 1.0, 3)
+    for r in whole.where("col between 2 and 3 and row between 2 and 3").collect():
+        if (r.col, r.row) in got:
+            assert got[r.col, r.row] == pytest.approx(r.estimate)
