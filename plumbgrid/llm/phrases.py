@@ -49,11 +49,11 @@ COUNT_BYTES = 1 << 21
 #: Groups in which the best of a language are chosen before they meet.
 SALTS = 64
 #: Grams whose flows a task adds up before it sends them.
-FLOW_ROWS = 400_000
+FLOW_ROWS = 150_000
 #: Words up to which their counts may be broadcast, some thirty bytes each.
 SMALL_WORDS = 400_000
 #: Text whose grams make a bucket, about: what a task adds up at once.
-BUCKET_BYTES = 1 << 24
+BUCKET_BYTES = 1 << 22
 KIND = np.zeros(256, dtype=np.uint8)  # 0: word, 1: between words, 2: between pieces
 KIND[[9, 32]] = 1
 KIND[[10, 11, 12, 13, *b".,;:!?"]] = 2
@@ -81,7 +81,7 @@ class Slice:
             None, pa.py_buffer(pos.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[word]))])
         coded = held.dictionary_encode()
         self.words, self.ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        breaks = np.cumsum(kind == 2)
+        breaks = np.cumsum(kind == 2, dtype=np.int32)
         piece = breaks[starts] if len(starts) else starts
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.offsets))
         self.doc = doc
@@ -237,6 +237,8 @@ def _summed(packed: DataFrame, parts: int) -> DataFrame:
                 held.append(_unpacked(blob))
         if held:
             yield from _added(held)
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
         add, "lang string, gram string, size int, c bigint")
