@@ -3,10 +3,13 @@
 import math
 import random
 
+import compare
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from plumbgrid.operators import rollups
+from plumbgrid.plans import QUERIES, SQL
 
 POINTS = "kind string, x double, y double, who string, v double"
 
@@ -65,3 +68,23 @@ def test_a_sketch_has_a_bounded_size(spark):
     crowd = spark.range(200_000).select(F.lit(0.5).alias("x"), F.lit(0.5).alias("y"), F.col("id").alias("who"), (F.col("id") % 977).alias("v"))
     r = rollups.summed_cells(crowd, ("x", "y"), 1.0, "who", "v").select("n", F.octet_length("seen").alias("s"), F.octet_length("spread").alias("q")).first()
     assert r.n == 200_000 and r.s <= 8_192 and r.q <= 16_384
+
+
+@pytest.mark.parametrize("by", [0, 1])
+def test_exact_distinct_counts(spark, by):
+    rows = made(20_000)
+    names = ["kind"][:by]
+    got = rollups.distinct_levels(spark.createDataFrame(rows, POINTS).repartition(6), ("x", "y"), 0.5, "who", 5, *names).collect()
+    for level in range(6):
+        want = {k: len({x[3] for x in inside} - {None}) for k, inside in plain(rows, 0.5 * 2 ** level, by).items()}
+        mine = {(*[r[n] for n in names], r.col, r.row): r["distinct"] for r in got if r.level == level}
+        assert mine == {k: n for k, n in want.items() if n}
+        assert level < 5 or max(mine.values()) > 2_000
+
+
+def test_query_counts_many_users_exactly(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i) MINUTE AS ts, i % 4001 AS user_id,
+        'a' AS event_type, (i % 997) / 1e2 AS value, '{{}}' AS props FROM range(9000) r(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert compare.difference(spark, con, QUERIES["cell_rollup"], SQL["cell_rollup"], str(tmp_path)) is None
