@@ -52,3 +52,21 @@ def test_no_points(spark):
 def test_sets_grow_from_known_parts_only():
     assert colocation._candidates({("a", "b"), ("a", "c"), ("b", "c"), ("b", "d")}) == [("a", "b", "c")]
     assert colocation._candidates(set()) == []
+
+
+def test_what_is_written_grows_with_the_points(spark, monkeypatch):
+    """A crowd of many instances, half of it copies: no table of pairs or instances is stored."""
+    rng = random.Random(4)
+    rows = [(i, "abcd"[i % 4], *((5.0, 5.0) if i % 2 else (rng.uniform(4, 6), rng.uniform(4, 6)))) for i in range(120)]
+    written = []
+
+    def counted(df, cut=colocation.cut):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(colocation, "cut", counted)
+    monkeypatch.setattr(colocation, "TILE", 32, raising=False)
+    got = colocation.colocations(spark.createDataFrame(rows, POINTS), "id", "kind", ("x", "y"), 1.0, 0.1, 4, 50)
+    assert {tuple(r.types): (r.size, r.instances, r.participation) for r in got.collect()} == plain(rows, 1.0, 0.1, 4)
+    assert max(written) <= 20 * len(rows)
