@@ -25,8 +25,7 @@ def rounded(df, places, *names):
 @query("band_weights", f"""WITH {t.EV_SQL}, {PAIRS}
 SELECT i, j, round(1e0 / d, 12) AS w FROM w JOIN degree USING (i)""")
 def band_weights(spark, folder):
-    out = weights.band_weights(t.embedding_points(spark, folder), "vec_id", XY, RADIUS, True)
-    return rounded(out, 12, "w")
+    return weights.band_weights(t.embedding_points(spark, folder), "vec_id", XY, RADIUS, True, places=12)
 
 
 @query("nearest_weights", f"""WITH {t.E_SQL}, r AS (SELECT a.vec_id AS i, b.vec_id AS j,

@@ -159,3 +159,19 @@ def test_small_sides_are_sent_without_a_shuffle(spark, monkeypatch):
             got = sorted(map(str, out.select("id").collect()))
             assert seen.setdefault(how, got) == got
     assert "Row(id=-1)" in seen["left_anti"] and len(seen["left_semi"]) + len(seen["left_anti"]) == 3001
+
+
+def test_band_weights_of_a_crowd_make_no_row_per_tested_pair(spark, monkeypatch):
+    from plumbgrid.operators import tiles, weights
+
+    points = crowd(8)
+    frame = table(spark, points)
+    monkeypatch.setattr(tiles, "BLOCK", 50)
+    for split_rows in (20_000, 7):
+        out = weights.band_weights(frame, "id", ("x", "y"), 0.3, True, split_rows, places=3)
+        found = brute.near(points, 0.3)
+        degree = {i: sum(a == i for a, _ in found) for i, _ in found}
+        assert {(r.i, r.j): r.w for r in out.collect()} == {(i, j): round(1 / degree[i], 3) for i, j in found}
+        text = plan(out)
+        assert "MapInArrow" in text and "_ix" not in text
+    assert weights.band_weights(frame.limit(0), "id", ("x", "y"), 0.3).count() == 0
