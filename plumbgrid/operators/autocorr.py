@@ -6,6 +6,7 @@ table of pairs is formed.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.planar import valid_xy
@@ -104,6 +105,7 @@ def variogram(points: DataFrame, xy: tuple[str, str], value: str, lag: float, bi
     lag = float(lag)
     spots = positions(centred(points, value, xy), xy, "_z")
     sums = class_sums(spots, [lag * (i + 1) for i in range(bins)],
-                      lambda d2: F.floor(F.sqrt(d2) / F.lit(lag)), split_rows, crowded)
+                      lambda d2: F.floor(F.sqrt(d2) / F.lit(lag)), split_rows, crowded,
+                      lambda d2: np.floor(np.sqrt(d2) / lag))
     return sums.select(F.col("class").alias("bin"), "pairs",
                        (F.col("spread") / (2 * F.col("pairs"))).alias("gamma"))

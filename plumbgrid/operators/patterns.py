@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cells import square_cell
@@ -78,9 +79,10 @@ def ripley(points: DataFrame, xy: tuple[str, str], radii: Sequence[float],
     """
     radii = sorted(float(r) for r in radii)
     spots = positions(points, xy)
+    squares = np.array([r * r for r in radii])
     beyond = [F.lit(r * r) for r in radii]
     sums = class_sums(spots, radii, lambda d2: sum(((d2 > e).cast("int") for e in beyond), F.lit(0)),
-                      split_rows, crowded)
+                      split_rows, crowded, lambda d2: np.searchsorted(squares, d2))
     # One row: the number of unordered pairs within each radius.
     within = sums.agg(F.array(*[
         F.coalesce(F.sum(F.when(F.col("class") <= i, F.col("pairs"))), F.lit(0))

@@ -10,6 +10,10 @@ There cells meet cells: boxes around their positions show that all pairs of two
 in one distance class, in which case the cells' sums are enough, or that none is near.
 Cells in doubt are halved and only the last doubtful few compare positions. All tests are
 exact; the boxes decide nothing within rounding of a radius.
+
+Narrow distance classes leave nearly all cells in doubt until they hold a few positions. So
+their pairs are compared as arrays within tasks, up to a number of pairs that is still less
+work than the rounds of halving.
 """
 
 from __future__ import annotations
@@ -18,16 +22,21 @@ import itertools
 from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.planar import dist2, valid_xy
 from ..session import cut
+from . import tiles
 from .pairs import SPLIT_ROWS, WIDEN, attach, meeting_pairs, within_distance, work_tasks
 
 # Above this many positions in a cell, cells meet cells.
 CROWDED = 256
 # unless the whole table gives no more pairs of positions than this.
 CHEAP_PAIRS = 100_000_000
+# Up to this many, pairs of positions are compared as arrays rather than cells be halved, for distance classes.
+TILED_PAIRS = 1e12
 # Two cells with at most this many pairs of positions compare them.
 LEAF_PAIRS = 4096
 MAX_LEVEL = 60
@@ -142,19 +151,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _is_crowded(spots: DataFrame, side: float, crowded: int) -> bool:
-    """Whether comparing positions would cost more than the rounds of halving."""
+def _crowd_pairs(spots: DataFrame, side: float, crowded: int) -> float:
+    """Pairs of positions where comparing them row by row would cost more than other ways, else 0."""
     counts = _in_cells(spots, side).groupBy("c0", "c1").count()
     load = counts.agg(F.max("count").alias("most"), F.sum(
         F.col("count").cast("double") * F.col("count") * 9).alias("pairs")).first()
-    return (load.most or 0) > crowded and load.pairs > CHEAP_PAIRS
+    return load.pairs if (load.most or 0) > crowded and load.pairs > CHEAP_PAIRS else 0.0
 
 
 def position_sums(spots: DataFrame, radius: float, split_rows: int = SPLIT_ROWS,
                   crowded: int = CROWDED) -> DataFrame:
     """Adds (n_in, s_in, q_in) over all positions within the radius, the own one included."""
     radius = float(radius)
-    if not _is_crowded(spots, radius * WIDEN, crowded):
+    if not _crowd_pairs(spots, radius * WIDEN, crowded):
         b = spots.toDF("_bx", "_by", "_bn", "_bs", "_bq")
         near = within_distance(spots, b, radius, ("x", "y"), ("_bx", "_by"), split_rows=split_rows)
         # All copies of a position meet it in the same task, so this adds up before the shuffle.
@@ -171,13 +180,43 @@ def position_sums(spots: DataFrame, radius: float, split_rows: int = SPLIT_ROWS,
     return _union(parts).groupBy(*spots.columns).agg(*[F.sum(f"{c}_in").alias(f"{c}_in") for c in SUMS])
 
 
+def _compared_classes(radius: float, classes: int, class_of: Callable[[np.ndarray], np.ndarray]):
+    """(class, pairs, spread) of the pairs of a cell's own positions and those after them by (x, y)."""
+    def task(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        x, y, n, s, q, own = [group.column(c).to_numpy() for c in ("x", "y", *SUMS, "_own")]
+        order = np.lexsort((y, x))
+        x, y, n, s, q, own = (v[order] for v in (x, y, n, s, q, own))
+        pairs, spread = [0] * classes, np.zeros(classes)
+        for tile in tiles.together(x, y, np.flatnonzero(own)):
+            around = tiles.within_reach(x, y, tile, radius)
+            around = around[np.searchsorted(around, tile.min(), "right"):]
+            step = tiles.BLOCK // len(tile)
+            for a in range(0, len(around), step):
+                others = around[a:a + step]
+                dx, dy = x[tile][:, None] - x[others], y[tile][:, None] - y[others]
+                at = np.minimum(class_of(dx * dx + dy * dy), classes).astype(np.int64)
+                if others[0] <= tile.max():
+                    at[others <= tile[:, None]] = classes
+                n_a, s_a, q_a = (v[tile][:, None] for v in (n, s, q))
+                part = q_a * n[others] - 2 * s_a * s[others] + n_a * q[others]
+                met = np.bincount(at.ravel(), (n_a * n[others]).ravel(), classes + 1)
+                pairs = [p + int(m) for p, m in zip(pairs, met)]
+                spread += np.bincount(at.ravel(), part.ravel(), classes + 1)[:classes]
+        yield pa.RecordBatch.from_arrays([pa.array(range(classes), pa.int64()), pa.array(pairs, pa.int64()), pa.array(spread)],
+                                         ["class", "pairs", "spread"])
+
+    return task
+
+
 def class_sums(spots: DataFrame, radii: Sequence[float], class_of: Callable[[Column], Column],
-               split_rows: int = SPLIT_ROWS, crowded: int = CROWDED) -> DataFrame:
+               split_rows: int = SPLIT_ROWS, crowded: int = CROWDED,
+               array_class: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(class, pairs, spread) over unordered pairs of rows at different or equal positions.
 
     ``pairs`` counts them and ``spread`` adds the squared differences of their values.
     ``class_of`` turns a squared distance into a class below len(radii); the classes must
-    change at the radii only, and pairs of higher class are left out.
+    change at the radii only, and pairs of higher class are left out. ``array_class`` is the
+    same function of an array; crowds are halved down to a few positions without it.
     """
     last = len(radii)
     pairs = F.col("a_n") * F.col("b_n")
@@ -186,15 +225,21 @@ def class_sums(spots: DataFrame, radii: Sequence[float], class_of: Callable[[Col
     d2 = dist2("a_x", "a_y", "b_x", "b_y")
     total = [F.sum("pairs").alias("pairs"), F.sum("spread").alias("spread")]
     measured = [class_of(d2).cast("long").alias("class"), pairs.alias("pairs"), spread.alias("spread")]
-    if not _is_crowded(spots, radii[-1] * WIDEN, crowded):
+    same = spots.select(F.lit(0).cast("long").alias("class"),
+                        F.expr("n * (n - 1) div 2").alias("pairs"),
+                        (F.col("n") * F.col("q") - F.col("s") * F.col("s")).alias("spread")).where("pairs > 0")
+    load = _crowd_pairs(spots, radii[-1] * WIDEN, crowded)
+    if not load:
         order = (F.col("a_x") < F.col("b_x")) | ((F.col("a_x") == F.col("b_x"))
                                                  & (F.col("a_y") < F.col("b_y")))
         met = meeting_pairs(spots, ("x", "y"), radii[-1], order, split_rows)
-        same = spots.select(F.lit(0).cast("long").alias("class"),
-                            F.expr("n * (n - 1) div 2").alias("pairs"),
-                            (F.col("n") * F.col("q") - F.col("s") * F.col("s")).alias("spread"))
-        parts = [met.select(*measured).where(F.col("class") < last), same.where("pairs > 0")]
+        parts = [met.select(*measured).where(F.col("class") < last), same]
         return _union(parts).groupBy("class").agg(*total)
+    if array_class is not None and load <= TILED_PAIRS:
+        plain = spots.select(*[F.col(c).cast("long" if c == "n" else "double").alias(c) for c in ("x", "y", *SUMS)])
+        met = tiles.each(plain, radii[-1], split_rows, _compared_classes(radii[-1], last, array_class),
+                         "class long, pairs long, spread double")
+        return met.where("pairs > 0").unionByName(same).groupBy("class").agg(*total)
     # Both orders of each pair come up here, and every row also meets itself.
     rows = spots.agg(F.sum("n").alias("n")).select(
         F.lit(0).cast("long").alias("class"), (-F.col("n")).alias("pairs"), F.lit(0.0).alias("spread"))

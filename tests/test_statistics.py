@@ -98,6 +98,25 @@ def test_variogram_and_ripley_count_copies(frame, points, crowded, leaf, monkeyp
         assert r.pairs == len(brute.near(points, r.radius))
 
 
+@pytest.mark.parametrize("tiled", [1e12, 0])
+def test_classes_of_a_crowd_are_compared_in_one_pass(frame, points, tiled, monkeypatch):
+    from plumbgrid.operators import tiles
+
+    monkeypatch.setattr(sums, "LEAF_PAIRS", 30)
+    monkeypatch.setattr(sums, "CHEAP_PAIRS", 0)
+    monkeypatch.setattr(sums, "TILED_PAIRS", tiled, raising=False)
+    monkeypatch.setattr(tiles, "PART_PAIRS", 100)
+    monkeypatch.setattr(tiles, "BLOCK", 640)
+    written = []
+    monkeypatch.setattr(sums, "cut", lambda df, cut=sums.cut: written.append(1) or cut(df))
+    radii = [0.0002, 0.0007, 0.1, 1.0]
+    for r in patterns.ripley(frame, XY, radii, 11, crowded=2).collect():
+        assert r.pairs == len(brute.near(points, r.radius))
+    assert (len(written) == 1) == (tiled > 0)
+    found = {r.bin: r.pairs for r in autocorr.variogram(frame, XY, "v", 0.25, 4, 11, crowded=2).collect()}
+    assert sum(found.values()) == sum(a[0] < b[0] and math.hypot(a[1] - b[1], a[2] - b[2]) < 1 for a in points for b in points)
+
+
 def test_weights(frame, points):
     near = brute.near(points, 0.3)
     degree = {}
