@@ -32,6 +32,8 @@ from plumbgrid.session import cut
 STEP, WINDOWS = 16, (1, 2, 4)
 #: Latent dimensions, and so the passages of a space; extra ones while they are searched, power iterations.
 RANK, EXTRA, POWER = 160, 16, 2
+#: Bits of a word's hash that are looked at before the vocabulary is searched.
+FIRST_BITS = 18
 #: Cosine above which an item is a candidate for a passage.
 COSINE = 0.35
 #: Share of an item's words that a common subsequence must cover, alone and with the answer.
@@ -48,6 +50,7 @@ class Block:
     folded: np.ndarray  # (word, dimension): what one occurrence adds to a passage
     items: np.ndarray  # (item passage, dimension), of length 1
     owner: np.ndarray  # place in the group of each item passage
+    held: tuple | None = None  # the items' words by bits of the vocabulary, once they are asked for
 
 
 @dataclass
@@ -68,9 +71,17 @@ def answer_of(text: str) -> str:
 
 def places(vocabulary: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Place of each word in the vocabulary, its size for others."""
-    at = np.searchsorted(vocabulary, words)
-    found = np.minimum(at, max(len(vocabulary) - 1, 0))
-    return np.where(vocabulary[found] == words, found, len(vocabulary)) if len(vocabulary) else at
+    out = np.full(len(words), len(vocabulary), dtype=np.int64)
+    if len(vocabulary):
+        # Most words fail by their first bits already.
+        first = np.zeros(1 << FIRST_BITS, dtype=bool)
+        first[vocabulary & (len(first) - 1)] = True
+        may = np.flatnonzero(first[words & (len(first) - 1)])
+        some = words[may]
+        at = np.minimum(np.searchsorted(vocabulary, some), len(vocabulary) - 1)
+        held = vocabulary[at] == some
+        out[may[held]] = at[held]
+    return out
 
 
 def cuts(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,18 +216,23 @@ class Held:
         step = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(at))))
         keep = at < len(known.vocabulary)
         self.levels = [self.bits(step[keep], at[keep], len(begins))]  # level k: of 2**k steps from each
+        if known.held is None:  # the same for all texts
+            known.held = self.of_items(known, words)
+        self.planes, self.row, self.repeats = known.held
+
+    def of_items(self, known: Block, words: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         # Plane m has an item's words that stand in it more than m times.
-        self.planes: list[np.ndarray] = []
+        planes: list[np.ndarray] = []
         items = np.unique(known.owner)
-        self.row = np.searchsorted(items, known.owner)
-        self.repeats = np.zeros(len(items), dtype=np.int64)
+        repeats = np.zeros(len(items), dtype=np.int64)
         for i, item in enumerate(items):
             place, count = np.unique(np.searchsorted(known.vocabulary, words[item]), return_counts=True)
-            self.repeats[i] = (count - 1).sum()
+            repeats[i] = (count - 1).sum()
             for m in range(int(count.max(initial=0))):
-                if m == len(self.planes):
-                    self.planes.append(np.zeros((len(items), self.width), dtype=np.uint64))
-                self.planes[m][i] = self.bits(np.zeros((count > m).sum(), dtype=int), place[count > m], 1)[0]
+                if m == len(planes):
+                    planes.append(np.zeros((len(items), self.width), dtype=np.uint64))
+                planes[m][i] = self.bits(np.zeros((count > m).sum(), dtype=int), place[count > m], 1)[0]
+        return planes, np.searchsorted(items, known.owner), repeats
 
     def bits(self, row: np.ndarray, place: np.ndarray, rows: int) -> np.ndarray:
         out = np.zeros(rows * self.width, dtype=np.uint64)

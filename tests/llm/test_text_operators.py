@@ -303,3 +303,18 @@ def test_words_on_which_polynomials_agree(spark):
     items = docs.where("doc_id % 10 = 2").select(F.col("doc_id").alias("item_id"), F.regexp_replace("text", " x", " y z").alias("text"))
     held = decontaminate.leaks(docs.where("doc_id % 10 = 1"), items).collect()
     assert not held
+
+
+def test_items_are_laid_out_once_for_all_texts():
+    import numpy as np
+
+    from plumbgrid.llm import decontaminate as d
+
+    vocabulary = np.unique(np.random.default_rng(1).integers(0, 2**63, 500).astype(np.uint64))
+    words = np.concatenate([vocabulary[::3], vocabulary[::7] + np.uint64(1 << d.FIRST_BITS), np.zeros(2, np.uint64)])
+    plain = {int(w): i for i, w in enumerate(vocabulary)}
+    assert d.places(vocabulary, words).tolist() == [plain.get(int(w), len(vocabulary)) for w in words]
+    assert d.places(vocabulary[:0], words).tolist() == [0] * len(words)
+    block = d.Block(vocabulary, np.zeros((500, 2), np.float32), np.zeros((1, 2), np.float32), np.zeros(1, dtype=int))
+    first = d.Held(d.places(vocabulary, words), np.array([0]), block, [vocabulary[:5]])
+    assert d.Held(d.places(vocabulary, words), np.array([0]), block, [vocabulary[:5]]).planes is first.planes
