@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbgrid.llm.text import Powers, slices, small_or_shuffled, word_hashes
+from plumbgrid.llm.text import Powers, giving_back, slices, small_or_shuffled, word_hashes
 from plumbgrid.session import cut
 
 #: Words of a step; passages are WINDOWS steps long and begin at every step. Those of one step are for
@@ -96,6 +96,7 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
     """In how many steps of all documents each word of the vocabulary stands, and all steps."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known, steps = Powers(), shared.value, 0
         sums = np.zeros(len(known) + 1, dtype=np.int64)
@@ -363,6 +364,7 @@ def searched(docs: DataFrame, known: Space, cosine: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(
         ([(b.vocabulary, b.folded, b.items, b.owner) for b in known.blocks], known.ids, known.words, known.answers))
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, *rest = shared.value
         table, own = Powers(), Space([Block(*b) for b in blocks], *rest)

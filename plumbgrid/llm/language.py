@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbgrid.llm.text import slices
+from plumbgrid.llm.text import giving_back, slices
 
 #: n-grams are hashed to this many places; the model has that many weights per bit.
 PLACES = 1 << 15
@@ -105,6 +105,7 @@ def train(docs: DataFrame) -> Model:
     What reaches the driver is languages times PLACES counts. Without rows there is no language
     and every prediction is unknown.
     """
+    @giving_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_letter = letters()
         sums: dict[str, np.ndarray] = {}
@@ -169,6 +170,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.languages, model.codes, model.weights, model.trust))
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_letter, known = letters(), Model(*shared.value)
         names = np.array([*known.languages, UNKNOWN], dtype=object)

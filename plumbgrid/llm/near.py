@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbgrid.llm.text import Powers, mix, signed, slices, small_or_shuffled, spans, word_hashes
+from plumbgrid.llm.text import Powers, giving_back, mix, signed, slices, small_or_shuffled, spans, word_hashes
 from plumbgrid.operators.components import components
 from plumbgrid.session import cut
 
@@ -75,6 +75,7 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n (set size), s1 and s2 (the set as 128 bits), sig; one row per row of `docs`."""
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Powers()
         for batch in batches:
@@ -170,6 +171,7 @@ def shared_depth(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of which 100 * |intersection| >= percent * |union| on full sets."""
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Powers()
         for batch in batches:
@@ -198,6 +200,7 @@ def open_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def marks(texts: DataFrame, k: int) -> DataFrame:
     """rep and marks: MARKS * 64 bits, the one of each shingle's hash set."""
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Powers()
         for batch in batches:
@@ -216,6 +219,7 @@ def rare_pairs(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): all pairs of `texts` (rep, component, text) of different components that can
     reach the threshold, by prefixes of their sets in ascending order of frequency and by the
     bits in which their marks differ."""
+    @giving_back
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Powers()
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbgrid.llm.text import slices
+from plumbgrid.llm.text import giving_back, slices
 from plumbgrid.llm.tokens import Encoder, worker_encoder  # noqa: F401
 from plumbgrid.session import scratch_path
 
@@ -83,6 +83,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: in
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @giving_back
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer)
         width, end = width_of(max(encoder.vocabulary, end_id + 1)), np.array([end_id], dtype=np.uint32)
@@ -137,6 +138,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
 
+    @giving_back
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
