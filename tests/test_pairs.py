@@ -175,3 +175,37 @@ def test_band_weights_of_a_crowd_make_no_row_per_tested_pair(spark, monkeypatch)
         text = plan(out)
         assert "MapInArrow" in text and "_ix" not in text
     assert weights.band_weights(frame.limit(0), "id", ("x", "y"), 0.3).count() == 0
+
+
+def written(frame, folder):
+    """Bytes per row of each column, as Parquet."""
+    import pyarrow.parquet as pq
+
+    frame.write.parquet(str(folder))
+    sizes, rows = {}, 0
+    for path in folder.glob("*.parquet"):
+        meta = pq.ParquetFile(path).metadata
+        rows += meta.num_rows
+        for group in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                column = meta.row_group(group).column(c)
+                sizes[column.path_in_schema] = sizes.get(column.path_in_schema, 0) + column.total_compressed_size
+    return {name: size / rows for name, size in sizes.items()}
+
+
+def test_keys_of_close_pairs_take_little_room(spark, tmp_path):
+    """A point's pairs with a tile lie together, so that keys repeat and are not most of what is written."""
+    rng = random.Random(9)
+    points = [(i, rng.random(), rng.random()) for i in range(3000)]
+    rng.shuffle(points)
+    size = written(pairs.close_pairs(table(spark, points), "id", ("x", "y"), 0.3), tmp_path / "pairs")
+    assert size["i"] + size["j"] < 1.0
+
+
+def test_close_pairs_of_equal_and_unknown_keys(spark):
+    """i < j holds for no equal or null keys, in one cell or two; keys may be texts."""
+    points = [("a", 0.1, 0.1), ("a", 0.1, 0.1), ("a", 0.35, 0.1), (None, 0.1, 0.1), ("b", 0.2, 0.1), ("c", None, 0.1)]
+    frame = table(spark, points, "id string, x double, y double")
+    for split_rows in (20_000, 1):
+        found = pairs.close_pairs(frame, "id", ("x", "y"), 0.3, split_rows).collect()
+        assert sorted((r.i, r.j) for r in found) == [("a", "b")] * 3
