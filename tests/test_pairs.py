@@ -209,3 +209,32 @@ def test_close_pairs_of_equal_and_unknown_keys(spark):
     for split_rows in (20_000, 1):
         found = pairs.close_pairs(frame, "id", ("x", "y"), 0.3, split_rows).collect()
         assert sorted((r.i, r.j) for r in found) == [("a", "b")] * 3
+
+
+def test_pairs_both_ways_are_the_join_with_itself(spark, monkeypatch):
+    """Copies of rows, equal and null keys, cells in parts; rows without a position meet nothing, not even themselves."""
+    from plumbgrid.operators import tiles
+
+    points = [*crowd(10), *crowd(11, 30)] + [(7, 0.5, 0.5)] * 3 + [(None, 0.5, 0.5)] * 2 + [(None, 0.1, 0.2), (900, None, 1.0)]
+    points += [(901, float("nan"), 1.0), (902, float("inf"), 1.0), (903, 0.0, 0.0), (903, -0.0, 0.0), (904, 50.0, 50.0)]
+    located = [p for p in points if p[1] is not None and abs(p[1]) < float("inf")]
+    expected = sorted((str(a[0]), str(b[0])) for a in located for b in located
+                      if (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 0.3 * 0.3)
+    for split_rows, tile, block in ((20_000, 256, 4_096), (7, 20, 30)):
+        monkeypatch.setattr(tiles, "PAIR_TILE", tile)
+        monkeypatch.setattr(tiles, "PAIR_BLOCK", block)
+        found = pairs.close_pairs(table(spark, points), "id", ("x", "y"), 0.3, split_rows, both=True).collect()
+        assert sorted((str(r.i), str(r.j)) for r in found) == expected
+        assert {r.distance for r in found if r.i == 904} == {0.0}
+
+
+def test_distances_of_the_planar_join_are_written_about_once(spark, tmp_path):
+    """The two rows of a pair lie together, so that a file holds their distance once and a little more."""
+    from plumbgrid.plans import QUERIES
+
+    rng = random.Random(12)
+    spots = [(i, [rng.random() * 0.2, rng.random() * 0.2], 0) for i in range(2000)]
+    rng.shuffle(spots)
+    spark.createDataFrame(spots, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    size = written(QUERIES["planar_distance_join"](spark, str(tmp_path)), tmp_path / "pairs")
+    assert size["distance"] < 6.0
