@@ -238,3 +238,45 @@ def test_distances_of_the_planar_join_are_written_about_once(spark, tmp_path):
     spark.createDataFrame(spots, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     size = written(QUERIES["planar_distance_join"](spark, str(tmp_path)), tmp_path / "pairs")
     assert size["distance"] < 6.0
+
+
+def test_listed_sphere_matches_brute_force(spark, monkeypatch):
+    """Copies, a crowd, edges of the sphere, unknown positions and keys, blocks and batches of a few rows."""
+    from plumbgrid.operators import tiles
+
+    rng = random.Random(14)
+    spots = [("a", -180.0, 0.0), ("b", 179.999995, 0.0), ("c", 10.0, 90.0), ("d", -120.0, 90.0), ("e", 0.0, -90.0), (None, 12.0, 12.0)]
+    spots += [("copy", 12.0, 12.0)] * 3 + [("zero", 0.0, 0.0), ("zero", -0.0, 0.0), ("n", None, 1.0), ("n", 5.0, float("nan")), ("n", float("inf"), 1.0)]
+    spots += [(f"r{k}", *at) for at in [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(25)] for k in range(3)]
+    spots += [(f"h{k}", 33.0, -45.0) for k in range(40)]
+    others = [(n, *s[1:]) for n, s in enumerate(spots)]
+    left = table(spark, spots, "who string, lon double, lat double")
+    right = table(spark, others, "id2 int, lon2 double, lat2 double")
+
+    def located(rows):
+        return [r for r in rows if r[1] is not None and r[2] is not None and abs(r[1]) < 1e9 and abs(r[2]) < 1e9]
+
+    for split_rows, (piece, copies, batch, tested) in ((20_000, (128, 64, 131_072, 1_000_000)), (9, (3, 4, 7, 50))):
+        for name, value in (("PIECE", piece), ("COPIES", copies), ("BATCH", batch), ("SPOT_PAIRS", tested)):
+            monkeypatch.setattr(tiles, name, value)
+        for metres in (1.0, 2e6, 3e7):
+            found = pairs.close_metres(left, right, "who", "id2", metres, ("lon", "lat"), ("lon2", "lat2"), split_rows)
+            expected = sorted((str(a[0]), b[0]) for a in located(spots) for b in located(others)
+                              if brute.haversine(a[1], a[2], b[1], b[2]) <= metres)
+            rows = found.collect()
+            assert sorted((str(r.who), r.id2) for r in rows) == expected
+            assert all(0 <= r.metres <= metres for r in rows)
+    assert pairs.close_metres(left.limit(0), right, "who", "id2", 1e6, ("lon", "lat"), ("lon2", "lat2")).count() == 0
+
+
+def test_rows_at_one_position_share_what_the_spherical_join_writes(spark, tmp_path):
+    """Customers whose keys differ by 612,000 are at one position; each list of suppliers is written about once."""
+    from plumbgrid.plans import QUERIES
+
+    customers = [(k + 612_000 * c, 0, 0.0, "") for c in range(9) for k in range(300)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(
+        str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(k, 0, 0.0) for k in range(8000)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(
+        str(tmp_path / "supplier.parquet"))
+    size = written(QUERIES["spherical_distance_join"](spark, str(tmp_path)), tmp_path / "pairs")
+    assert sum(size.values()) < 2.0
