@@ -280,3 +280,12 @@ def test_rows_at_one_position_share_what_the_spherical_join_writes(spark, tmp_pa
         str(tmp_path / "supplier.parquet"))
     size = written(QUERIES["spherical_distance_join"](spark, str(tmp_path)), tmp_path / "pairs")
     assert sum(size.values()) < 2.0
+
+
+def test_keys_of_pairs_both_ways_take_little_room(spark, tmp_path):
+    """A point's pairs with a tile are mostly all of it, in an order that repeats from point to point."""
+    rng = random.Random(15)
+    points = [(i, rng.random() * 0.3, rng.random() * 0.3) for i in range(4000)]
+    rng.shuffle(points)
+    size = written(pairs.close_pairs(table(spark, points), "id", ("x", "y"), 0.1, both=True), tmp_path / "pairs")
+    assert size["i"] + size["j"] < 0.6
